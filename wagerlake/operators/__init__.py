@@ -1,0 +1 @@
+"""operators."""
