@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, embedding_join, minhash_join, packing, repetition, token_counts, warc_revisits
+from . import bpe_stream, embedding_join, language_id, minhash_join, packing, prefix_free, quality_lm, repetition, token_counts, warc_revisits
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,6 +22,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_lm.classify(table(spark, sf_dir, "documents"), trusted).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -36,11 +41,24 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = language_id.fold(F.col("doc_id"))
+    known = docs.select("doc_id", "lang").where("lang is not null")
+    found = language_id.identify(docs, known.where(fold >= 2), known.where(fold == 1))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -50,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op7_token_counts, op9_embedding_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op6_language_id, op7_token_counts, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_best_fit_packing)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -93,6 +111,16 @@ a AS (SELECT v.id, v.url, v.ts, v.tag, max(struct_pack(ts := r.ts, id := r.id, t
 b AS (SELECT *, CASE WHEN r.id IS NULL THEN 'no_response' WHEN regexp_replace(tag, '^W/', '') = r.tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM a)
 SELECT id AS record_id, url, ts, outcome, r.id AS ref_id, CASE WHEN outcome = 'resolved' THEN tag END AS etag, CASE WHEN outcome = 'resolved' THEN 'max-age=' || (((ts % 7) + 7) % 7)::VARCHAR END AS cache_control,
  CASE WHEN outcome = 'resolved' THEN 't' || ts::VARCHAR END AS date, CASE WHEN outcome = 'resolved' THEN r.size END AS content_length, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN outcome = 'resolved' THEN r.sha END AS payload_sha256 FROM b""",
+    "op8_suffix_array_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM h)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM w JOIN f USING (s) WHERE m < doc_id),
+n AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 49 AS b FROM n GROUP BY ALL),
+q AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM r),
+c AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY k) AS head, max(b) AS b, sum(b - a + 1) AS gone, count(*) AS spans FROM q JOIN h USING (doc_id) GROUP BY ALL)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * b + 1), h))) AS kept_sha256 FROM h LEFT JOIN c USING (doc_id)""",
     "op9_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
