@@ -46,6 +46,6 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     scored = staged(scored, "scores")
     judges = scored.where(f"n_bytes >= {SHORT} and bits is not null").join(sure.where(fold == 0).select("doc_id"), "doc_id", "left_semi")
     limits = judges.groupBy("lang").agg((F.percentile_approx("bits", quantile, 10_000) + slack).alias("threshold"))
-    judged = scored.join(limits, "lang", "left")
+    judged = scored.join(F.broadcast(limits), "lang", "left")  # a row a language, as many as the driver has models
     bad = (F.col("n_bytes") >= SHORT) & (F.col("bits") > F.col("threshold"))
     return judged.select("doc_id", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", (~F.coalesce(bad, F.lit(False))).alias("kept"))
