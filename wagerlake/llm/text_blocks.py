@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, same_rows
 
-#: Bytes of text of a block on average; blocks that share a group of one shard.
-BLOCK_BYTES, SALT = 12 << 20, 1024
+#: Bytes of text of a block on average; blocks that share a group of one shard; bytes of a batch that a task deals out at once.
+BLOCK_BYTES, SALT, SLICE = 12 << 20, 1024, 16 << 20
 BLOCKS = "block int, ids binary, sizes binary, texts binary"
 
 
@@ -47,19 +47,33 @@ def text_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            to = block_of(ids, blocks)
-            order = np.argsort(to, kind="stable")
-            text = batch.column("text").cast(pa.large_string()).fill_null("").take(pa.array(order))
-            ids, to = ids[order], to[order]
-            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            raw = memoryview(text.buffers()[2] or b"")
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            rows = [(int(to[a]), ids[a:b].tobytes(), np.diff(ends[a : b + 1]).tobytes(), squeeze(raw[ends[a] : ends[b]], 3)) for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 3)], names=["block", "ids", "sizes", "texts"])
+            rows = [(b, ids.tobytes(), sizes.tobytes(), squeeze(raw, 3)) for b, ids, sizes, raw in parts(batch, blocks)]
+            kinds = (pa.int32(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["block", "ids", "sizes", "texts"])
 
+    return identified(docs).mapInArrow(pack, BLOCKS)
+
+
+def identified(docs: DataFrame) -> DataFrame:
     rows = same_rows(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.where("doc_id is not null").mapInArrow(pack, BLOCKS)
+    return rows.where("doc_id is not null")
+
+
+def parts(batch: pa.RecordBatch, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, memoryview]]:
+    """(block, ids, sizes, texts in UTF-8) of a batch of (doc_id, text), about SLICE bytes of text at a time."""
+    step = max(1, int(len(batch) * SLICE / max(1, batch.column("text").nbytes)))
+    for at in range(0, len(batch), step):
+        some = batch.slice(at, step)
+        ids = some.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        to = block_of(ids, blocks)
+        order = np.argsort(to, kind="stable")
+        text = some.column("text").cast(pa.large_string()).fill_null("").take(pa.array(order))
+        ids, to = ids[order], to[order]
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = memoryview(text.buffers()[2] or b"")
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True):
+            yield int(to[a]), ids[a:b], np.diff(ends[a : b + 1]), raw[ends[a] : ends[b]]
 
 
 def documents_of(block: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
