@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -36,11 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: lineage ends here, and any executor may be lost later."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as a table in the shared folder and read again: lineage ends here, and any executor may be lost later.
+
+    Spark removes the shuffle files of a finished query once the driver's JVM has collected its plan, which on a roomy heap may
+    take hours; asking for that here keeps local disks to what the current step needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_staged(spark: SparkSession) -> None:
+    """Deletes every table that staged() has written so far: only for callers whose earlier results are all written elsewhere."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
