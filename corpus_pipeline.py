@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagerlake.llm import language_id, minhash_join, packing, prefix_free, quality_lm
-from wagerlake.llm.common import staged, table
+from wagerlake.llm.common import forget_staged, shared_dir, staged, table
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -14,12 +18,25 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage gets the written result of the one before, so that one's own tables in the shared folder can go."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget_staged(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like trusted text of their language; see quality_lm.classify."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return _without(docs, quality_lm.classify(docs, trusted).where("not kept"))
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which some language's model is sure; see language_id.identify. Models learn from the stage's own documents."""
     known = docs.select("doc_id", "lang").where("lang is not null")
@@ -27,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, language_id.identify(docs, known.where(fold != 1), known.where(fold == 1)).where("not accepted"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id, and of rows that repeat its id the least text."""
     found = staged(minhash_join.near_duplicates(docs).select("doc_id", "component_id"), "groups")
@@ -39,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionByName(least.select("row.*"))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that a document with a smaller id has too; n_chars follows the text."""
     cut = prefix_free.remove_repeats(docs).where("n_removed > 0").select("doc_id", "text_sha256", "kept_text").dropDuplicates(["doc_id", "text_sha256"])
@@ -48,6 +67,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return met.select(*(text.alias(c) if c == "text" else n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' words in sequences of several lengths; see packing.pack."""
     return packing.pack(packing.word_lengths(docs))
@@ -60,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
