@@ -111,6 +111,12 @@ def _unlike(left: str, right: str) -> Column:
     return total
 
 
+def _may_link(left: str, right: str, threshold: int) -> Column:
+    """Whether sizes and sketches leave the threshold possible: the smaller set must have threshold percent of the larger one."""
+    m, n = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return (100 * F.least(m, n) >= threshold * F.greatest(m, n)) & (_unlike(left, right) <= most_unlike(threshold))
+
+
 def most_unlike(threshold: int) -> int:
     """Differing slots allowed: 4.5 standard deviations beyond what a pair at the threshold shows."""
     p = (1 - threshold / 100) * 15 / 16
@@ -135,28 +141,27 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, le
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes, "classes")
     rep = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rep = staged(rep.select(F.col("doc_id").alias("id"), "mins", "k0", "k1", "k2", "k3"), "reps")
-    sketch = rep.select("id", F.struct("k0", "k1", "k2", "k3").alias("k"))
-    allowed = most_unlike(threshold)
+    rep = staged(rep.select(F.col("doc_id").alias("id"), "mins", F.struct(F.col("n_shingles").alias("n"), "k0", "k1", "k2", "k3").alias("k")), "reps")
+    sketch = rep.select("id", "k")
 
     roots = rep.select("id", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select("id", "mins", F.xxhash64("tree", F.lit("root")).alias("key"))
     first = staged(_branch(roots, FAN), "nodes")
     heads = first.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     star = first.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = star.join(sketch.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("k").alias("y")), "b")
-    star = star.where(_unlike("x", "y") <= allowed).select("a", "b")
+    star = star.where(_may_link("x", "y", threshold)).select("a", "b")
     edges = staged(confirmed(star, docs, threshold), "links")
     found = components(edges)
 
     known = rep.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = staged(known.select("id", "component", "mins", F.struct("k0", "k1", "k2", "k3").alias("k")), "known")
+    known = staged(known.select("id", "component", "mins", "k"), "known")
     pairs, nodes = None, first
     for level in range(1, depth + 1):
         rows = nodes.join(known.select("id", "component"), "id")
         size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
         rows = staged(rows.join(size, "key"), "open")
         small = rows.where(F.col("n") <= leaf).select("key", "id", "component", F.lit(0).alias("cell")) if level < depth else rows.select("key", "id", "component", F.lit(0).alias("cell"))
-        here = _compared(small, known, allowed, split=leaf if level == depth else 0)
+        here = _compared(small, known, threshold, split=leaf if level == depth else 0)
         pairs = here if pairs is None else pairs.unionByName(here)
         if level < depth:
             large = rows.where(F.col("n") > leaf)
@@ -171,9 +176,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, le
     return with_words.unionByName(all_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _compared(rows: DataFrame, known: DataFrame, allowed: int, split: int) -> DataFrame:
-    """Pairs of one node that differ in component and agree in sketch; split deals a node's documents to cells of about that many."""
-    rows = rows.join(known.select("id", "k"), "id")
+def _compared(rows: DataFrame, known: DataFrame, threshold: int, split: int) -> DataFrame:
+    """Pairs of one node that differ in component and agree in sketch; split deals a node's documents to cells of about that many.
+
+    Two documents may share several nodes of a level; the pair is made in the one of the least key only.
+    """
+    mine = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(mine, "id").join(known.select("id", "k"), "id")
     if split:
         cells = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(split)).cast("int").alias("cells"))
         rows = rows.join(cells, "key")
@@ -181,6 +190,7 @@ def _compared(rows: DataFrame, known: DataFrame, allowed: int, split: int) -> Da
         right = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     else:
         left = right = rows
-    x = left.select("key", "cell", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("k").alias("x"))
-    y = right.select("key", "cell", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("k").alias("y"))
-    return x.join(y, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_unlike("x", "y") <= allowed)).select("a", "b")
+    x = left.select("key", "cell", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("k").alias("x"), F.col("keys").alias("kx"))
+    y = right.select("key", "cell", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("k").alias("y"), F.col("keys").alias("ky"))
+    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
+    return x.join(y, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x", "y", threshold) & once).select("a", "b")
