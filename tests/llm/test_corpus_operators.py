@@ -231,3 +231,15 @@ def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not kept & {100, 101, 102} and len(kept & set(range(60))) >= 56
+
+
+def test_parity_sketch_never_differs_in_more_places_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, edits in ((3, 1), (146, 20), (146, 80), (5000, 900)):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[edits:], rng.integers(0, 1 << 63, edits, dtype=np.uint64)])
+        odd = sum(int(v).bit_count() for v in (minhash_join.parities(x) ^ minhash_join.parities(y)).view(np.uint64))
+        apart = len(np.setxor1d(x, y))
+        assert odd <= apart and (apart - odd) % 2 == 0
+        assert odd > 0.7 * apart or apart > minhash_join.PARITY / 4
+    assert not minhash_join.parities(np.zeros(0, np.uint64)).any()

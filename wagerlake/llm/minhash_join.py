@@ -3,7 +3,9 @@
 Every document's set of 5-word shingles is embedded as SLOTS minwise tokens. Independent trees branch on a few slots
 chosen by the node's path; a document goes to the child named by its own token there. Nodes of a few documents are
 compared exhaustively, larger ones branch again, and at the last depth the rest are compared block by block, so no
-node is cut short. Candidates that a 4-bit sketch of the tokens doesn't rule out are confirmed on full shingle sets.
+node is cut short. Candidates that two sketches don't rule out are confirmed on full shingle sets: 4 bits of each
+token, and the parity of the set's hashes in PARITY places. Sets differ in at least as many elements as their parities
+do, so the second loses no pair; it is sharp for sets up to about PARITY shingles, the first serves beyond.
 
 Before the trees, one pass over the first nodes links each document with the node's smallest one. Nodes whose
 documents are linked already have nothing left to find; large groups of copies so cost a row each, not a pair each.
@@ -13,6 +15,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -26,6 +30,10 @@ SLOTS = 64
 #: Trees, children of a node, documents of a node compared at once, and depth. A pair at the threshold follows a child
 #: with probability 0.75; with two children it reaches any depth with 0.88, and six trees miss it with under 1e-5.
 TREES, FAN, LEAF, DEPTH = 6, 2, 48, 4
+#: Bits of the parity sketch, and the columns of both sketches.
+PARITY = 1024
+TOKEN_BITS = [f"k{i}" for i in range(SLOTS // 16)]
+PARITY_BITS = [f"o{i}" for i in range(PARITY // 64)]
 _A = np.random.default_rng(11).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(12).integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 
@@ -50,6 +58,12 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return (mix(out) >> np.uint64(33)).astype(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITY places whether an odd number of the set's hashes fall there, packed to 64-bit words."""
+    odd = np.bincount((mix(shingles ^ np.uint64(0xA0761D6478BD642F)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = batch["text"].tolist()
@@ -60,15 +74,16 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 nibble = ((m & 15).astype(np.uint64).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
                 d1 = (np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0)).astype(np.int64)
                 d2 = mix(s * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64).astype(np.int64)
-                rows.append((len(s), d1, d2, m.astype(np.int32), *nibble.view(np.int64)))
-            part = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "mins", "k0", "k1", "k2", "k3"])
+                rows.append((len(s), d1, d2, m.astype(np.int32), *nibble.view(np.int64), *parities(s)))
+            part = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "mins", *TOKEN_BITS, *PARITY_BITS])
             part.insert(0, "doc_id", batch["doc_id"].to_numpy()[first : first + len(raws)])
             yield part
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, its minwise tokens and their 4-bit sketch."""
-    return same_rows(docs, "doc_id", "text").where("doc_id is not null").mapInPandas(_sketches, "doc_id long, n_shingles long, d1 long, d2 long, mins array<int>, k0 long, k1 long, k2 long, k3 long")
+    """doc_id, n_shingles, a 128-bit digest of the set, its minwise tokens, their 4-bit sketch and the set's parity sketch."""
+    bits = ", ".join(f"{c} long" for c in TOKEN_BITS + PARITY_BITS)
+    return same_rows(docs, "doc_id", "text").where("doc_id is not null").mapInPandas(_sketches, f"doc_id long, n_shingles long, d1 long, d2 long, mins array<int>, {bits}")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +118,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 def _unlike(left: str, right: str) -> Column:
     """Slots whose 4-bit sketches differ."""
     total = None
-    for k in ("k0", "k1", "k2", "k3"):
+    for k in TOKEN_BITS:
         x = F.col(f"{left}.{k}").bitwiseXOR(F.col(f"{right}.{k}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
@@ -111,10 +126,20 @@ def _unlike(left: str, right: str) -> Column:
     return total
 
 
+def _odd(left: str, right: str) -> Column:
+    """Places whose parities differ: at most the number of elements that one set has and the other hasn't."""
+    return reduce(add, (F.bit_count(F.col(f"{left}.{o}").bitwiseXOR(F.col(f"{right}.{o}"))) for o in PARITY_BITS))
+
+
 def _may_link(left: str, right: str, threshold: int) -> Column:
-    """Whether sizes and sketches leave the threshold possible: the smaller set must have threshold percent of the larger one."""
+    """Whether sizes and sketches leave the threshold possible.
+
+    The smaller set must have threshold percent of the larger one, and linked sets of m and n elements differ in at
+    most (m + n) * (100 - threshold) / (100 + threshold) of them.
+    """
     m, n = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return (100 * F.least(m, n) >= threshold * F.greatest(m, n)) & (_unlike(left, right) <= most_unlike(threshold))
+    sizes = 100 * F.least(m, n) >= threshold * F.greatest(m, n)
+    return sizes & (_unlike(left, right) <= most_unlike(threshold)) & ((100 + threshold) * _odd(left, right) <= (100 - threshold) * (m + n))
 
 
 def most_unlike(threshold: int) -> int:
@@ -141,7 +166,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, le
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes, "classes")
     rep = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rep = staged(rep.select(F.col("doc_id").alias("id"), "mins", F.struct(F.col("n_shingles").alias("n"), "k0", "k1", "k2", "k3").alias("k")), "reps")
+    rep = staged(rep.select(F.col("doc_id").alias("id"), "mins", F.struct(F.col("n_shingles").alias("n"), *TOKEN_BITS, *PARITY_BITS).alias("k")), "reps")
     sketch = rep.select("id", "k")
 
     roots = rep.select("id", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select("id", "mins", F.xxhash64("tree", F.lit("root")).alias("key"))
