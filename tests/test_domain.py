@@ -1,6 +1,7 @@
 """Hand-built cases of the ledger, profit factor, prices and assignment."""
 
 import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -72,3 +73,34 @@ def test_assignment_is_the_greedy_one(spark):
             used |= {a, b}
             want.append((a, b, s))
     assert sorted(map(tuple, matching.assigned(spark.createDataFrame(scored, "a long, b long, score double")).collect())) == sorted(want)
+
+
+def vectors(rnd, n, at=0):
+    """Rows past id 500 with copies, a zero vector, a null one, another length and a repeated id."""
+    some = [[rnd.choice([-2.0, -1.0, 0.5, 1.0, 3.0]) for _ in range(5)] for _ in range(12)]
+    rows = [(at + i, rnd.choice(some), i % 2 if rnd.random() < 0.1 else rnd.randint(0, 2)) for i in range(n)]
+    return rows + [(at + n, [0.0] * 5, 0), (at + n + 1, None, 0), (at + n + 2, [1.0, 2.0], 0), (at + n + 3, some[0], None), (at, some[3], 1)]
+
+
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
+
+
+def brute_pairs(rows):
+    def score(x, y):
+        if not x or not y or len(x) != len(y):
+            return 0.0
+        size = math.sqrt(sum(p * p for p in x)) * math.sqrt(sum(p * p for p in y))
+        return math.floor((sum(p * q for p, q in zip(x, y)) / size if size else 0.0) * 10_000 + 0.5) / 10_000
+
+    return [(a, b, score(x, y)) for a, x, k in rows for b, y, m in rows if a % 2 == 0 and b % 2 == 1 and k is not None and k == m]
+
+
+def test_pairs_of_all_ids(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TILE", 4)
+    rows = vectors(random.Random(3), 90, at=460)
+    e, want = spark.createDataFrame(rows, EMBEDDINGS), brute_pairs(rows)
+    assert sorted(map(tuple, matching.pairs_of(e, 0.3).collect())) == sorted(x for x in want if x[2] >= 0.3)
+    best = {}
+    for a, b, s in want:
+        best[a] = max(best.get(a, (-2, 0)), (s, -b))
+    assert {a: (s, -b) for a, b, s in matching.best_of(e).collect()} == best

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,21 +14,69 @@ from wagerlake.sources.carriers import table, trades
 from wagerlake.sources.shared import checkpointed
 
 c = F.col
+#: Classes of equal vectors in a tile.
+TILE = 512
+
 
+def catalogues(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (side, key, id) of the two catalogues (even and odd ids), and their classes of equal vectors (side, label, key, least, v).
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double; 0 where a vector has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
+    A vector that is null, empty or has a null or non-finite component is an empty one here: it scores 0, as a zero vector does.
+    """
+    sound = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    v = F.expr(f"CASE WHEN {sound} THEN transform(embedding, x -> cast(x AS double) + 0D) ELSE cast(array() AS array<double>) END")
+    rows = e.where("label is not null and vec_id % 2 in (0, 1)").select((c("vec_id") % 2).alias("side"), "label", c("vec_id").alias("id"), v.alias("v"))
+    each = checkpointed(rows.groupBy("side", "label", "v").agg(F.min("id").alias("least")).withColumn("key", F.monotonically_increasing_id()))
+    return rows.join(each.select("side", "label", "v", "key"), ["side", "label", "v"]).select("side", "key", "id"), each
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rounded scores of all vectors of x with all of y, in double; 0 where the lengths differ or a vector has no length."""
+    out = np.zeros((len(x), len(y)))
+    nx, ny = (np.fromiter(map(len, z), np.int64, len(z)) for z in (x, y))
+    for n in np.intersect1d(nx[nx > 0], ny):
+        i, j = np.flatnonzero(nx == n), np.flatnonzero(ny == n)
+        a, b = np.stack(x[i]), np.stack(y[j])
+        size = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))
+        out[np.ix_(i, j)] = np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0)
+    return np.floor(out * 10_000 + 0.5) / 10_000
+
+
+def links(each: DataFrame, least: float | None) -> DataFrame:
+    """p, q, score of the classes of both sides that share a label, compared in salted tiles: those from least up, or each p's best,
+    of equal ones that with the smallest id."""
+    split = each.groupBy("side", "label").agg(F.ceil(F.count("*") / TILE).alias("splits"))
+    tile = F.pmod(F.xxhash64("key"), c("splits")).alias("tile")
+    tiles = each.join(split, ["side", "label"]).groupBy("side", "label", tile).agg(F.collect_list(F.struct("key", "least", "v")).alias("x"))
+    tiles = checkpointed(tiles.select("side", "label", "tile", "x.key", "x.least", "x.v"))
+    side = lambda n, k, *more: tiles.where(c("side") == n).select("label", c("tile").alias(f"t{k}"), *(c(m).alias(f"{m}_{k}") for m in more))
+    met = checkpointed(side(0, "a").join(side(1, "b"), "label"))
+    parts = max(1, met.count() // 64)
+    met = met.join(side(0, "a", "key", "v"), ["label", "ta"]).join(side(1, "b", "key", "least", "v"), ["label", "tb"]).repartition(parts, "label", "ta", "tb")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                s = cosines(r.v_a, r.v_b)
+                if least is None:
+                    i = np.arange(len(s))
+                    j = np.where(s == s.max(axis=1, keepdims=True), r.least_b, np.iinfo(np.int64).max).argmin(axis=1)
+                else:
+                    i, j = np.nonzero(s >= least)
+                yield pd.DataFrame({"p": r.key_a[i], "q": r.key_b[j], "score": s[i, j], "b": r.least_b[j]})
+
+    return checkpointed(met.mapInPandas(compare, "p long, q long, score double, b long"))
+
+
+def pairs_of(e: DataFrame, least: float) -> DataFrame:
+    """Scored candidates of two catalogues; the category is the join key, so no cross product is formed."""
+    members, each = catalogues(e)
+    side = lambda n, k, i: members.where(c("side") == n).select(c("key").alias(k), c("id").alias(i))
+    return links(each, least).drop("b").join(side(0, "p", "a"), "p").join(side(1, "q", "b"), "q").select("a", "b", "score")
 
 
 def pairs(spark: SparkSession, d: str, least: float) -> DataFrame:
-    """Scored candidates of two catalogues (even and odd ids); the category is the join key, so no cross product is formed."""
-    e = table(spark, d, "embeddings").where("vec_id < 500")
-    left = e.where("vec_id % 2 = 0").select("label", c("vec_id").alias("a"), c("embedding").alias("x"))
-    right = e.where("vec_id % 2 = 1").select("label", c("vec_id").alias("b"), c("embedding").alias("y"))
-    score = F.floor(cosine(c("x"), c("y")) * 10_000 + 0.5) / F.lit(10_000.0)
-    return left.join(right, "label").select("a", "b", score.alias("score")).where(c("score") >= least)
+    return pairs_of(table(spark, d, "embeddings"), least)
 
 
 _PAIRS = "SELECT x.vec_id AS a, y.vec_id AS b, floor(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 10000 + 0.5) / 10000.0::DOUBLE AS score FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id % 2 = 0 AND y.vec_id % 2 = 1 WHERE x.vec_id < 500 AND y.vec_id < 500"
@@ -37,7 +89,15 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J08_best_candidate", f"SELECT a, arg_max(b, struct_pack(s := score, b := -b)) AS b, max(score) AS score FROM ({_PAIRS}) GROUP BY a")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d, -1.0).groupBy("a").agg(F.max_by("b", F.struct("score", -c("b"))).alias("b"), F.max("score").alias("score"))
+    return best_of(table(spark, d, "embeddings"))
+
+
+def best_of(e: DataFrame) -> DataFrame:
+    members, each = catalogues(e)
+    left = members.where("side = 0").select(c("key").alias("p"), c("id").alias("a"))
+    order = F.struct("score", -c("b"))
+    best = links(each, None).groupBy("p").agg(F.max_by("b", order).alias("b"), F.max("score").alias("score"))
+    return left.join(best, "p").groupBy("a").agg(F.max_by("b", order).alias("b"), F.max("score").alias("score"))
 
 
 def assigned(scored: DataFrame, most_rounds: int = 200) -> DataFrame:
