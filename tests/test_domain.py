@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wagerlake.functions import prices
 from wagerlake.plans import ledger, matching, performance
+from wagerlake.sources.shared import checkpointed
 
 TRADES = "wallet long, asset long, side string, shares long, cash long, ts long, k string"
 RESOLUTION = "condition long, final boolean, winning_asset long, resolved_at long"
@@ -104,3 +105,37 @@ def test_pairs_of_all_ids(spark, monkeypatch):
     for a, b, s in want:
         best[a] = max(best.get(a, (-2, 0)), (s, -b))
     assert {a: (s, -b) for a, b, s in matching.best_of(e).collect()} == best
+
+
+def one_by_one(scored):
+    used, out = set(), []
+    for a, b, s in sorted(scored, key=lambda x: (-x[2], x[0], x[1])):
+        if (0, a) not in used and (1, b) not in used:
+            used |= {(0, a), (1, b)}
+            out.append((a, b, s))
+    return sorted(out)
+
+
+def test_assignment_of_many_copies_leaves_no_pair(spark, monkeypatch):
+    rows = [(i, [1.0, 2.0], 1) for i in range(500)]
+    want = [(i, i + 1, 1.0) for i in range(0, 500, 2)]
+    tables = []
+    monkeypatch.setattr(matching, "checkpointed", lambda df: tables.append(1) or checkpointed(df))
+    for rest in (matching.REST, 0):
+        monkeypatch.setattr(matching, "REST", rest)
+        assert sorted(map(tuple, matching.assigned_of(spark.createDataFrame(rows, EMBEDDINGS), 0.3).collect())) == want
+    assert len(tables) < 25
+
+
+def test_assignment_of_a_long_chain(spark):
+    scored = [(a, b, 1000.0 - 2 * a - (b > a)) for a in range(300) for b in (a, a + 1)]
+    assert sorted(map(tuple, matching.assigned(spark.createDataFrame(scored, "a long, b long, score double")).collect())) == one_by_one(scored)
+
+
+def test_assignment_by_classes_is_the_greedy_one(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TILE", 4)
+    for seed, rest in ((4, 0), (5, 60), (6, matching.REST)):
+        monkeypatch.setattr(matching, "REST", rest)
+        rows = vectors(random.Random(seed), 60)
+        got = matching.assigned_of(spark.createDataFrame(rows, EMBEDDINGS), 0.3).collect()
+        assert sorted(map(tuple, got)) == one_by_one([x for x in brute_pairs(rows) if x[2] >= 0.3])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +17,8 @@ from wagerlake.sources.carriers import table, trades
 from wagerlake.sources.shared import checkpointed
 
 c = F.col
-#: Classes of equal vectors in a tile.
-TILE = 512
+#: Classes of equal vectors in a tile; open links and members that the driver matches one by one.
+TILE, REST = 512, 20_000
 
 
 def catalogues(e: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,26 +103,82 @@ def best_of(e: DataFrame) -> DataFrame:
     return left.join(best, "p").groupBy("a").agg(F.max_by("b", order).alias("b"), F.max("score").alias("score"))
 
 
-def assigned(scored: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Greedy one-to-one assignment by (score, a, b): pairs that are both sides' best are taken, round after round, until none is left.
+def matched(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Greedy one-to-one assignment (a, b, score) by (score, a, b) between classes whose members have the same scores.
 
-    Each round is checkpointed, so the plan doesn't grow; the result is that of taking pairs one by one in descending order.
+    links (p, q, score) are one row a pair of classes; left (p, a) and right (q, b) have every id once. A class gives its members away
+    in ascending order. Each round takes, of two classes that are each other's best, the k-th smallest a with the k-th smallest b as
+    long as neither has an equally good class with a smaller member, so copies cost no rounds of their own. Rounds go on until no
+    link between open members is left; once links and members are few enough, the driver takes the rest one by one.
     """
-    best = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("score"), "a", "b"))
-    open_, done = scored, None
-    for _ in range(most_rounds):
-        ranked = open_.withColumn("ra", best("a")).withColumn("rb", best("b"))
-        taken = checkpointed(ranked.where("ra = 1 and rb = 1").select("a", "b", "score"))
-        if taken.isEmpty():
-            break
+    done = None
+    while True:
+        links = checkpointed(links.join(left.select("p").distinct(), "p", "left_semi").join(right.select("q").distinct(), "q", "left_semi"))
+        left, right = (checkpointed(x.join(links.select(k).distinct(), k, "left_semi")) for x, k in ((left, "p"), (right, "q")))
+        if links.count() + left.count() + right.count() <= REST:
+            rest = left.sparkSession.createDataFrame(greedy(links, left, right), f"a {left.schema['a'].dataType.simpleString()}, b {right.schema['b'].dataType.simpleString()}, score double")
+            return rest if done is None else done.unionByName(rest)
+        met = links.join(left.groupBy("p").agg(F.min("a").alias("a0")), "p").join(right.groupBy("q").agg(F.min("b").alias("b0")), "q")
+        for k, head in (("p", "b0"), ("q", "a0")):
+            w = Window.partitionBy(k).orderBy(F.desc("score"), head)
+            met = met.withColumn(f"r_{k}", F.row_number().over(w)).withColumn(f"end_{k}", F.when(F.lead("score").over(w) == c("score"), F.lead(head).over(w)))
+        runs = met.where("r_p = 1 and r_q = 1").select("p", "q", "score", "end_p", "end_q")
+        nth = lambda x, k, i: x.withColumn("n", F.row_number().over(Window.partitionBy(k).orderBy(i)))
+        taken = nth(left, "p", "a").join(runs, "p").join(nth(right, "q", "b"), ["q", "n"])
+        taken = checkpointed(taken.where("(end_p is null or b < end_p) and (end_q is null or a < end_q)").select("a", "b", "score"))
         done = taken if done is None else done.unionByName(taken)
-        open_ = checkpointed(open_.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
-    return scored.limit(0) if done is None else done
+        left, right = left.join(taken.select("a"), "a", "left_anti"), right.join(taken.select("b"), "b", "left_anti")
+
+
+def greedy(links: DataFrame, left: DataFrame, right: DataFrame) -> list[tuple]:
+    """matched() one by one on the driver."""
+    a_of, b_of = defaultdict(list), defaultdict(list)
+    for k, x in left.select("p", "a").collect():
+        a_of[k].append(x)
+    for k, x in right.select("q", "b").collect():
+        b_of[k].append(x)
+    for ids in (*a_of.values(), *b_of.values()):
+        ids.sort(reverse=True)
+    out = []
+    rows = sorted(links.select("score", "p", "q").collect(), key=lambda r: -r.score)
+    for score, level in itertools.groupby(rows, lambda r: r.score):
+        to = defaultdict(list)
+        for r in level:
+            to[r.p].append(r.q)
+        heads = [(a_of[p][-1], p) for p in to if a_of[p]]
+        heapq.heapify(heads)
+        while heads:
+            a, p = heapq.heappop(heads)
+            some = [q for q in to[p] if b_of[q]]
+            if not some:
+                continue
+            out.append((a_of[p].pop(), b_of[min(some, key=lambda q: b_of[q][-1])].pop(), score))
+            if a_of[p]:
+                heapq.heappush(heads, (a_of[p][-1], p))
+    return out
+
+
+def assigned(scored: DataFrame) -> DataFrame:
+    """matched() for pairs (a, b, score), every id a class of its own."""
+    one = scored.groupBy(c("a").alias("p"), c("b").alias("q")).agg(F.max(c("score").cast("double")).alias("score"))
+    return matched(checkpointed(one), scored.select(c("a").alias("p"), "a").distinct(), scored.select(c("b").alias("q"), "b").distinct())
 
 
 @query("J07_greedy_assignment", None)
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return assigned(pairs(spark, d, 0.3))
+    return assigned_of(table(spark, d, "embeddings"), 0.3)
+
+
+def assigned_of(e: DataFrame, least: float) -> DataFrame:
+    """Greedy assignment of two catalogues; ids with the same vectors (one, but for repeated ids) are one class."""
+    members, each = catalogues(e)
+    ids = members.groupBy("side", "id").agg(F.array_sort(F.collect_set("key")).alias("keys")).withColumn("node", F.concat_ws(",", c("keys").cast("array<string>")))
+    ids = checkpointed(ids)
+    nodes = ids.select("side", "node", "keys").distinct().select("side", "node", F.explode("keys").alias("key"))
+    side = lambda n, x, i: nodes.where(c("side") == n).select(c("node").alias(x), c("key").alias(i))
+    met = links(each, least).select(c("p").alias("i"), c("q").alias("j"), "score").join(side(0, "p", "i"), "i").join(side(1, "q", "j"), "j").groupBy("p", "q").agg(F.max("score").alias("score"))
+    own = lambda n, x, i: ids.where(c("side") == n).select(c("node").alias(x), c("id").alias(i))
+    return matched(met, own(0, "p", "a"), own(1, "q", "b"))
 
 
 @query("J23_merge_groups", f"SELECT a, b, max(score) AS score FROM (SELECT * FROM ({_PAIRS}) WHERE score >= 0.4 UNION ALL SELECT a, b, score + 0.01::DOUBLE FROM ({_PAIRS}) WHERE score >= 0.4 AND b % 3 = 0) GROUP BY a, b")
