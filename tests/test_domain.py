@@ -139,3 +139,36 @@ def test_assignment_by_classes_is_the_greedy_one(spark, monkeypatch):
         rows = vectors(random.Random(seed), 60)
         got = matching.assigned_of(spark.createDataFrame(rows, EMBEDDINGS), 0.3).collect()
         assert sorted(map(tuple, got)) == one_by_one([x for x in brute_pairs(rows) if x[2] >= 0.3])
+
+
+def test_replay_of_redeem_split_and_merge(spark):
+    t = [
+        (1, 20, "BUY", 10, 400, 1, "a"), (1, 20, "REDEEM", 7, 1000, 2, "b"),
+        (2, 20, "BUY", 10, 400, 1, "a"), (2, 20, "SPLIT", 5, 500, 2, "b"), (2, 20, "SPLIT", 5, 0, 3, "c"), (2, 20, "SPLIT", 0, 90, 4, "d"),
+        (3, 20, "BUY", 9, 400, 1, "a"), (3, 20, "MERGE", 3, 0, 2, "b"), (3, 20, "MERGE", 30, 50, 3, "c"), (3, 20, "MERGE", 5, 70, 4, "d"),
+        (4, 20, "BUY", 9, 400, 1, "a"), (4, 20, "REWARD", 9, 400, 2, "b"), (4, 20, "SELL", None, None, 3, "c"),
+        (5, 20, "BUY", 3, 100, 1, "a"), (5, 20, "MERGE", 1, 0, 2, "b"),
+    ]
+    got = {x.wallet: tuple(x.s) for x in ledger.replay(spark.createDataFrame(t, TRADES), "wallet", "asset").collect()}
+    assert got[1] == (0, -600, 400, 400, 0, 1000)
+    assert got[2] == (20, 900, 900, 900, 0, 0)
+    assert got[3] == (0, -50, 400, 400, 50, 0)
+    assert got[4] == (9, 400, 400, 400, 0, 0)
+    assert got[5][0] == 2 and abs(got[5][1] - 200 / 3) < 1e-9
+
+
+def test_lifecycles_and_episodes_with_redeem_split_and_merge(spark):
+    t = [
+        (1, 20, "BUY", 10, 400, 1, "a"), (1, 20, "REDEEM", 10, 1000, 2, "b"), (1, 20, "BUY", 4, 200, 3, "c"),
+        (2, 20, "BUY", 10, 500, 1, "a"), (2, 20, "MERGE", 10, 0, 2, "b"), (2, 20, "BUY", 4, 200, 3, "c"),
+        (3, 20, "BUY", 10, 400, 1, "a"), (3, 20, "REDEEM", 10, 1000, 2, "b"),
+        (4, 20, "BUY", 10, 500, 1, "a"), (4, 20, "SELL", 10, 600, 2, "b"), (4, 20, "BUY", 8, 320, 3, "c"), (4, 20, "SELL", 8, 440, 4, "d"),
+        (5, 20, "BUY", 100, 5000, 1, "a"), (5, 20, "SELL", 60, 3600, 2, "b"), (5, 20, "BUY", 40, 2800, 3, "c"),
+    ]
+    df = spark.createDataFrame(t, TRADES)
+    got = sorted((x.wallet, x.episode, x.e.n, x.e.s.shares) for x in ledger.episodes(df, "wallet", "asset").collect())
+    assert got == [(1, 0, 2, 0), (1, 1, 1, 4), (2, 0, 3, 4), (3, 0, 2, 0), (4, 0, 2, 0), (4, 1, 2, 0), (5, 0, 3, 80)]
+    life = {x.wallet: x for x in ledger.lifecycles(df, spark.createDataFrame([(10, True, 20, 9)], RESOLUTION)).collect()}
+    assert (life[2].reason, life[2].payout, life[2].pnl, life[2].excluded) == (None, 0, None, True)
+    assert (life[3].reason, life[3].redeem, life[3].pnl, life[3].excluded) == ("fully_exited", 1000, 600, False)
+    assert life[5].most == 5000

@@ -9,7 +9,7 @@ from wagerlake.registry import query
 from wagerlake.sources.carriers import resolution, trades, unit_events
 
 c = F.col
-_STATE = "struct<shares:bigint,outlay:bigint,most:bigint,buy:bigint,sell:bigint>"
+_STATE = "struct<shares:bigint,outlay:double,most:double,buy:bigint,sell:bigint,redeem:bigint>"
 
 
 def events_of(df: DataFrame, *keys: str) -> DataFrame:
@@ -18,18 +18,35 @@ def events_of(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def applied(s: Column, e: Column) -> Column:
-    """State after an event: shares and outlay, the largest outlay so far, gross cash bought and sold."""
-    buy = e["side"] == "BUY"
-    outlay = s["outlay"] + F.when(buy, e["cash"]).otherwise(-e["cash"])
+    """State after an event: shares and outlay, the largest outlay so far, gross cash bought, sold and redeemed.
+
+    REDEEM leaves no shares; SPLIT adds shares, for cash or none; MERGE gives shares back and releases their part of the outlay, so
+    outlays are doubles. Events of any other kind change nothing.
+    """
+    is_ = lambda *kinds: F.coalesce(e["side"].isin(*kinds), F.lit(False))
+    zero = F.lit(0).cast("long")
+    shares, cash = F.coalesce(e["shares"], zero), F.coalesce(e["cash"], zero)
+    split = is_("SPLIT") & (shares > 0)
+    merge = is_("MERGE") & (shares > 0) & (s["shares"] > 0)
+    paid, gone = F.greatest(cash, zero), F.least(shares, s["shares"])
+    bought = F.when(is_("BUY"), cash).when(split, paid).otherwise(zero)
+    sold = F.when(is_("SELL"), cash).when(merge, paid).otherwise(zero)
+    redeemed = F.when(is_("REDEEM"), cash).otherwise(zero)
+    kept = F.when(merge, F.greatest(F.lit(0.0), s["outlay"] - s["outlay"] * gone / s["shares"])).otherwise(s["outlay"])
+    outlay = kept + bought - sold - redeemed
+    held = F.when(is_("BUY") | split, s["shares"] + shares).when(is_("SELL"), s["shares"] - shares).when(is_("REDEEM"), zero).when(merge, s["shares"] - gone).otherwise(s["shares"])
     return F.struct(
-        (s["shares"] + F.when(buy, e["shares"]).otherwise(-e["shares"])).alias("shares"), outlay.alias("outlay"), F.greatest(s["most"], outlay).alias("most"),
-        (s["buy"] + F.when(buy, e["cash"]).otherwise(F.lit(0))).alias("buy"), (s["sell"] + F.when(buy, F.lit(0)).otherwise(e["cash"])).alias("sell"),
+        held.alias("shares"), outlay.alias("outlay"), F.greatest(s["most"], outlay).alias("most"), (s["buy"] + bought).alias("buy"), (s["sell"] + sold).alias("sell"), (s["redeem"] + redeemed).alias("redeem")
     ).cast(_STATE)
 
 
 def empty() -> Column:
-    zero = F.lit(0).cast("long")
-    return F.struct(*(zero.alias(x) for x in ("shares", "outlay", "most", "buy", "sell"))).cast(_STATE)
+    return F.struct(*(F.lit(0).alias(x) for x in ("shares", "outlay", "most", "buy", "sell", "redeem"))).cast(_STATE)
+
+
+def mixed() -> Column:
+    """Whether a position's events have a MERGE or SPLIT."""
+    return F.exists("events", lambda e: F.coalesce(e["side"].isin("MERGE", "SPLIT"), F.lit(False)))
 
 
 def replay(df: DataFrame, *keys: str) -> DataFrame:
@@ -48,7 +65,7 @@ _POS = f"SELECT wallet, asset, min(condition) AS condition, count(*) AS n, sum(C
 @query("L02_L03_position_replay", f"SELECT wallet, asset, n, shares, most, buy, sell FROM ({_POS})")
 def position_replay(spark: SparkSession, d: str) -> DataFrame:
     r = replay(trades(spark, d), "wallet", "asset")
-    return r.select("wallet", "asset", F.size("events").cast("long").alias("n"), "s.shares", "s.most", "s.buy", "s.sell")
+    return r.select("wallet", "asset", F.size("events").cast("long").alias("n"), "s.shares", c("s.most").cast("long").alias("most"), "s.buy", "s.sell")
 
 
 @query("W08_running_outlay", f"SELECT wallet, asset, k, outlay::BIGINT AS outlay FROM ({_RUN})")
@@ -58,18 +75,19 @@ def running_outlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def episodes(df: DataFrame, *keys: str) -> DataFrame:
-    """One row an episode: a BUY after the shares came back to nothing, with something bought, opens the next one."""
+    """One row an episode: a BUY after the shares came back to nothing, with something bought, opens the next one;
+    positions with a MERGE or SPLIT stay whole."""
 
     def step(acc: Column, e: Column) -> Column:
         s, done = acc["now"], acc["done"]
-        over = (acc["n"] > 0) & (s["shares"] == 0) & (s["buy"] > 0) & (e["side"] == "BUY")
+        over = ~c("mixed") & (acc["n"] > 0) & (s["shares"] == 0) & (s["buy"] > 0) & (e["side"] == "BUY")
         fresh = F.when(over, empty()).otherwise(s)
         kept = F.when(over, F.concat(done, F.array(F.struct(acc["n"].alias("n"), s.alias("s"))))).otherwise(done)
         return F.struct(kept.alias("done"), F.when(over, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), applied(fresh, e).alias("now"))
 
     start = F.struct(F.array().cast(f"array<struct<n:int,s:{_STATE}>>").alias("done"), F.lit(0).alias("n"), empty().alias("now"))
     whole = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["now"].alias("s"))))
-    return events_of(df, *keys).select(*keys, F.posexplode(F.aggregate("events", start, step, whole)).alias("episode", "e"))
+    return events_of(df, *keys).withColumn("mixed", mixed()).select(*keys, F.posexplode(F.aggregate("events", start, step, whole)).alias("episode", "e"))
 
 
 @query("L04_episodes", """WITH RECURSIVE e AS (SELECT wallet, asset, side, cash, row_number() OVER (PARTITION BY wallet, asset ORDER BY ts, k) AS i FROM v_unit_events),
@@ -82,16 +100,17 @@ def unit_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lifecycles(t: DataFrame, r: DataFrame) -> DataFrame:
-    """Every position of every wallet: completion, payout (100 cents a winning share), profit and exclusion."""
-    p = replay(t, "wallet", "asset").select("wallet", "asset", F.floor(c("asset") / 2).cast("long").alias("condition"), "s.*")
+    """Every position of every wallet: completion, payout (100 cents a winning share), profit and exclusion. Positions with a MERGE or SPLIT
+    are excluded, neither completed nor counted."""
+    p = replay(t, "wallet", "asset").select("wallet", "asset", F.floor(c("asset") / 2).cast("long").alias("condition"), mixed().alias("mixed"), "s.*")
     p = p.join(r, "condition", "left")
     exited = (c("shares") == 0) & (c("buy") > 0)
     final = F.coalesce("final", F.lit(False)) & (c("buy") > 0)
     held = ~exited & final & (c("shares") > 0)
-    p = p.withColumn("reason", F.when(exited, "fully_exited").when(held, "held_through_resolution").when(final, "market_resolved"))
+    p = p.withColumn("reason", F.when(c("mixed"), None).when(exited, "fully_exited").when(held, "held_through_resolution").when(final, "market_resolved"))
     p = p.withColumn("payout", F.when(c("reason") == "held_through_resolution", F.when(c("winning_asset") == c("asset"), c("shares") * 100).otherwise(0)).otherwise(0))
     counted = c("reason").isNotNull() & (c("most") > 0)
-    return p.select("wallet", "asset", "condition", "shares", "most", "buy", "sell", "reason", "payout", F.when(counted, c("sell") + c("payout") - c("buy")).alias("pnl"), F.when(c("reason") == "held_through_resolution", c("winning_asset") == c("asset")).alias("correct"), (c("reason").isNotNull() & (c("most") <= 0)).alias("excluded"))
+    return p.select("wallet", "asset", "condition", "shares", "most", "buy", "sell", "redeem", "reason", "payout", F.when(counted, c("sell") + c("redeem") + c("payout") - c("buy")).alias("pnl"), F.when(c("reason") == "held_through_resolution", c("winning_asset") == c("asset")).alias("correct"), (c("mixed") | (c("reason").isNotNull() & (c("most") <= 0))).alias("excluded"))
 
 
 _LIFE = f"""SELECT wallet, asset, p.condition, shares, most, buy, sell, reason, payout, CASE WHEN reason IS NOT NULL AND most > 0 THEN sell + payout - buy END AS pnl, CASE WHEN reason = 'held_through_resolution' THEN winning_asset = asset END AS correct, reason IS NOT NULL AND most <= 0 AS excluded
@@ -100,7 +119,7 @@ _LIFE = f"""SELECT wallet, asset, p.condition, shares, most, buy, sell, reason,
 
 @query("L05_L06_L07_lifecycles", _LIFE)
 def all_lifecycles(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycles(trades(spark, d), resolution(spark, d))
+    return lifecycles(trades(spark, d), resolution(spark, d)).drop("redeem").withColumn("most", c("most").cast("long"))
 
 
 @query("L08_modal_condition", "SELECT wallet, side, arg_max(condition, struct_pack(n := n, f := -f)) AS condition, max(n) AS n FROM (SELECT wallet, side, condition, count(*) AS n, min(ts * 100000 + condition) AS f FROM v_trades GROUP BY ALL) GROUP BY wallet, side")
@@ -172,19 +191,19 @@ def affected_positions(spark: SparkSession, d: str, since: int = 978307200) -> D
  LEFT JOIN (SELECT wallet, asset, sum(CASE WHEN side = 'BUY' THEN cash ELSE 0 END) AS buy, sum(CASE WHEN side = 'BUY' THEN 0 ELSE cash END) AS sell FROM v_trades WHERE ts < 978307200 GROUP BY ALL) o USING (wallet, asset)""")
 def write_plan(spark: SparkSession, d: str, since: int = 978307200) -> DataFrame:
     t = trades(spark, d)
-    now = replay(t, "wallet", "asset").select("wallet", "asset", "s.buy", "s.sell")
-    old = replay(t.where(c("ts") < since), "wallet", "asset").select("wallet", "asset", c("s.buy").alias("old_buy"), c("s.sell").alias("old_sell"))
-    action = F.when(c("old_buy").isNull(), "insert").when((c("old_buy") == c("buy")) & (c("old_sell") == c("sell")), "unchanged").otherwise("update")
+    now = replay(t, "wallet", "asset").select("wallet", "asset", "s.buy", "s.sell", "s.redeem")
+    old = replay(t.where(c("ts") < since), "wallet", "asset").select("wallet", "asset", c("s.buy").alias("old_buy"), c("s.sell").alias("old_sell"), c("s.redeem").alias("old_redeem"))
+    action = F.when(c("old_buy").isNull(), "insert").when((c("old_buy") == c("buy")) & (c("old_sell") == c("sell")) & (c("old_redeem") == c("redeem")), "unchanged").otherwise("update")
     return now.join(old, ["wallet", "asset"], "left").select("wallet", "asset", action.alias("action"))
 
 
 @query("L18_parity", f"SELECT count(*) AS positions, count(*) FILTER (a.buy = b.buy AND a.sell = b.sell) AS equal, count(*) FILTER (a.wallet IS NULL OR b.wallet IS NULL) AS missing FROM ({_POS}) a FULL JOIN (SELECT * FROM ({_POS}) WHERE wallet % 10 <> 0) b ON a.wallet = b.wallet AND a.asset = b.asset")
 def parity(spark: SparkSession, d: str) -> DataFrame:
     """Replayed against stored positions; the stored table lacks the wallets that end in 0."""
-    a = replay(trades(spark, d), "wallet", "asset").select("wallet", "asset", "s.buy", "s.sell")
-    b = a.where("wallet % 10 <> 0").select("wallet", "asset", c("buy").alias("b_buy"), c("sell").alias("b_sell"))
+    a = replay(trades(spark, d), "wallet", "asset").select("wallet", "asset", "s.buy", "s.sell", "s.redeem")
+    b = a.where("wallet % 10 <> 0").select("wallet", "asset", c("buy").alias("b_buy"), c("sell").alias("b_sell"), c("redeem").alias("b_redeem"))
     both = a.join(b, ["wallet", "asset"], "full")
-    return both.agg(F.count("*").alias("positions"), F.count_if((c("buy") == c("b_buy")) & (c("sell") == c("b_sell"))).alias("equal"), F.count_if(c("buy").isNull() | c("b_buy").isNull()).alias("missing"))
+    return both.agg(F.count("*").alias("positions"), F.count_if((c("buy") == c("b_buy")) & (c("sell") == c("b_sell")) & (c("redeem") == c("b_redeem"))).alias("equal"), F.count_if(c("buy").isNull() | c("b_buy").isNull()).alias("missing"))
 
 
 @query("L20_order_diagnostics", "SELECT wallet, count(*) AS total, count(*) FILTER (asset % 3 = 0 AND shares % 2 = 0) AS full_order, count(*) FILTER (asset % 3 = 0 AND shares % 2 = 1) AS block_only, count(*) FILTER (asset % 3 <> 0) AS none FROM v_trades GROUP BY wallet")
