@@ -9,8 +9,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wagerlake.llm import language_id, minhash_join, packing, prefix_free, quality_lm
+from wagerlake.llm import language_id, minhash_join, packing, prefix_free, quality_lm, token_counts
 from wagerlake.llm.common import forget_staged, shared_dir, staged, table
+from wagerlake.llm.queries import PIECE_BPE, tokenizer_path
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -69,8 +70,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' words in sequences of several lengths; see packing.pack."""
-    return packing.pack(packing.word_lengths(docs))
+    """Places of all documents' tokens in sequences of several lengths; see packing.pack."""
+    return packing.pack(token_counts.token_counts(docs, tokenizer_path(PIECE_BPE)))
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packed", packed)]

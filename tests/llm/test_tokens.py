@@ -5,7 +5,8 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from wagerlake.llm import bpe_stream, token_counts  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from wagerlake.llm import bpe_stream, queries, token_counts  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -73,3 +74,18 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).count() == 0
     assert bpe_stream.digests(docs, P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_packing_places_model_tokens(spark, tmp_path):
+    texts = ["Unbelievably tokenizable words, repeatedly.", "漢字" * 6000, "aGVsbG8gd29ybGQ" * 900, "", None, "one two " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lib = token_counts.processor(P.path("piece_bpe_32k.model"))
+    want = {i: len(lib.encode(x)) for i, x in enumerate(texts) if x}
+    assert max(want.values()) > 4096
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for run in (lambda: queries.op10_best_fit_packing(spark, str(tmp_path)), lambda: corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        sums = {}
+        for r in run().collect():
+            sums[r.doc_id] = sums.get(r.doc_id, 0) + r.n_tokens
+            assert r.bin_offset + r.n_tokens <= r.bin_length
+        assert sums == want

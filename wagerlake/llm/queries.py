@@ -65,7 +65,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+    return packing.pack(token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE)))
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op6_language_id, op7_token_counts, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_best_fit_packing)}
