@@ -172,3 +172,10 @@ def test_lifecycles_and_episodes_with_redeem_split_and_merge(spark):
     assert (life[2].reason, life[2].payout, life[2].pnl, life[2].excluded) == (None, 0, None, True)
     assert (life[3].reason, life[3].redeem, life[3].pnl, life[3].excluded) == ("fully_exited", 1000, 600, False)
     assert life[5].most == 5000
+
+
+def test_bootstrap_draws_a_thousand_resamples(spark, monkeypatch):
+    wallets = spark.range(40).select(F.col("id").alias("wallet"), (F.col("id") % 3).alias("profit"), F.lit(0).alias("loss"))
+    monkeypatch.setattr(performance, "by_wallet", lambda *_: wallets)
+    given, few = performance.bootstrap(spark, "").first(), performance.bootstrap(spark, "", times=200).first()
+    assert given == performance.bootstrap(spark, "", times=1000).first() != few

@@ -140,7 +140,7 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("A39_bootstrap", None)
-def bootstrap(spark: SparkSession, d: str, times: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap(spark: SparkSession, d: str, times: int = 1000, seed: int = 7) -> DataFrame:
     """Pass rate over Poisson resamples of the wallets: each wallet counts with a Poisson(1) weight in each of them, drawn from its own hash."""
     rates = by_wallet(spark, d).select("wallet", (c("profit") > c("loss")).cast("int").alias("passed"))
     each = rates.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(times))))
