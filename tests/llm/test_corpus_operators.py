@@ -243,3 +243,29 @@ def test_parity_sketch_never_differs_in_more_places_than_the_sets():
         assert odd <= apart and (apart - odd) % 2 == 0
         assert odd > 0.7 * apart or apart > minhash_join.PARITY / 4
     assert not minhash_join.parities(np.zeros(0, np.uint64)).any()
+
+
+@pytest.mark.parametrize("wide", [1, 16])
+def test_repeats_of_structured_texts_and_negative_ids(spark, wide):
+    """Periodic texts, Thue-Morse words (equal polynomial hashes modulo 2^64 for different texts), copies, a hot passage."""
+    rnd = random.Random(21)
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    swapped = thue.translate(str.maketrans("ab", "ba"))
+    hot = prose(rnd, 40)
+    texts = [thue, swapped, "ab" * 700, "ab" * 300 + "ba" * 200, "a" * 500, "\0" * 120, "\0" * 60 + "x", *(f"{prose(rnd, 20)} {hot} {prose(rnd, 20)}" for _ in range(25))]
+    rows = [(i * 13 % 37 - 20, t, None, 0, None) for i, t in enumerate(texts)] + [(-21, texts[9], None, 0, None), (-20, texts[12], None, 0, None)]
+    got = prefix_free.remove_repeats(spark.createDataFrame(rows, DOCS), blocks=3, wide=wide).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows)
+
+
+def test_equal_suffixes_are_found_by_their_bytes():
+    rng = np.random.default_rng(2)
+    buf = rng.integers(0, 3, 4000).astype(np.uint8)
+    start = np.arange(len(buf) - 20)
+    live, first = prefix_free.equal_strings(buf, start, 7)
+    got = [sorted(x) for x in np.split(live, first[1:])]
+    want = defaultdict(list)
+    for i in start:
+        want[buf[i : i + 7].tobytes()].append(i)
+    assert sorted(got) == sorted(x for x in want.values() if len(x) > 1)
+    assert [buf[x[0] : x[0] + 7].tobytes() for x in got] == sorted(k for k, x in want.items() if len(x) > 1)
