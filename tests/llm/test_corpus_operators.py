@@ -54,21 +54,51 @@ def components(ids, links):
             return label
 
 
+def groups(rows, threshold=75):
+    """Component of each row with an id, rows being nodes of their own."""
+    rows = [(i, shingles(t)) for i, t, *_ in rows if i is not None]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][1] and rows[b][1] and 100 * len(rows[a][1] & rows[b][1]) >= threshold * len(rows[a][1] | rows[b][1])]
+    label, least = components(range(len(rows)), links), {}
+    for k, g in label.items():
+        least[g] = min(least.get(g, rows[k][0]), rows[k][0])
+    return sorted((i, len(s), least[label[k]]) for k, (i, s) in enumerate(rows))
+
+
 def test_near_duplicates_match_brute_force(docs, rows):
-    sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    want = components(sets, links)
     got = minhash_join.near_duplicates(docs).collect()
-    assert len(got) == sum(r[0] is not None for r in rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
+
+
+def test_rows_of_one_id_keep_their_own_groups(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(2)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b + " x"), (5, c), (7, None), (7, None), (8, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "xx", 1, "e") for i, t in rows], DOCS)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_join.near_duplicates(docs).collect()) == groups(rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted([(3, a), (5, b), (5, c), (7, ""), (8, ""), (-1, a)])
 
 
-def test_small_nodes_lose_no_link(spark):
+@pytest.mark.parametrize(("leaf", "shrink"), [(4, 0.9), (16, 0.9), (8, 0.0), (8, 3.0)])
+def test_large_nodes_lose_no_link(spark, leaf, shrink):
+    """Nodes that branch on, and such that are compared block by block (shrink 0)."""
     rnd = random.Random(5)
     text = prose(rnd, 80).split()
-    docs = spark.createDataFrame([(i, " ".join([*text, str(i)]), None, 0, None) for i in range(90)], DOCS)
-    got = {r.component_id for r in minhash_join.near_duplicates(docs, leaf=4, depth=2).collect()}
-    assert got == {0}
+    rows = [(i, " ".join([*text, str(i)])) for i in range(60)]
+    base = [f"w{i}" for i in range(120)]
+    for i in range(60, 140):  # alike by about 0.57, some of them chained at 0.75 and more
+        own = [w if rnd.random() > 0.055 else f"x{rnd.random()}" for w in base]
+        rows += [(i, " ".join(own)), (i + 100, " ".join([*own[:-6], *map(str, range(6))]))]
+    docs = spark.createDataFrame([(i, t, None, 0, None) for i, t in rows], DOCS)
+    got = minhash_join.near_duplicates(docs, leaf=leaf, shrink=shrink, trees=14).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
+
+
+def test_recall_is_that_of_the_branching():
+    assert minhash_join.recall(0.75, 1) > 1 - 1e-6 and minhash_join.recall(0.75, 4) > 0.9995 and minhash_join.recall(0.75, 8) > 0.996
+    assert minhash_join.recall(0.5, 12) < 0.4
 
 
 def removed(rows, length=50):

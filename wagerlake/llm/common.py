@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import contextlib
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,39 +29,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir, or wagerlake.shared.dir where a session has none; executors read no other."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("wagerlake.shared.dir", "")
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/wagerlake-shared"  # one machine has it, so every task can read it
     if not found:
-        found = tempfile.mkdtemp(prefix="wagerlake-")
-        spark.conf.set("wagerlake.shared.dir", found)
+        raise ValueError("set spark.checkpoint.dir (or wagerlake.shared.dir) to a folder that all executors share")
     return found.rstrip("/")
 
 
-_written: list[str] = []
+#: Paths that staged() has written, by the innermost Staging that was open.
+_open: list[Staging] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: lineage ends here, and any executor may be lost later.
+class Staging:
+    """The tables that are staged inside a with block; drop() deletes these and no others, once nothing that reads them is needed."""
 
-    Spark removes the shuffle files of a finished query once the driver's JVM has collected its plan, which on a roomy heap may
-    take hours; asking for that here keeps local disks to what the current step needs.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Staging:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+
+    def drop(self, spark: SparkSession) -> None:
+        while self.paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark drops a query's shuffle files when the query ends, not when the driver happens to collect its plan."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def forget_staged(spark: SparkSession) -> None:
-    """Deletes every table that staged() has written so far: only for callers whose earlier results are all written elsewhere."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table in the shared folder and read again: lineage ends here, and any executor may be lost later."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].paths.append(path)
+    with _tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,6 +130,21 @@ def blocks(texts: Sequence[str | None], limit: int = BLOCK) -> Iterator[tuple[in
         yield first, run
 
 
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[start:end]: mixed from length and bytes up to 16 bytes, xxh3 of the bytes beyond."""
+    n = end - start
+    padded = np.concatenate([buf, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    lo, hi = eight[start] & _FIRST[np.minimum(n, 8)], eight[start + 8] & _FIRST[np.clip(n - 8, 0, 8)]
+    out = mix(mix(mix(lo + np.uint64(_ODD)) + hi) + n.astype(np.uint64))
+    for i in np.flatnonzero(n > 16):
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]].tobytes())
+    return out
+
+
 class Words:
     """Words [^\\x20\\x09-\\x0D]+ of a run of texts: byte spans, hashes and where each text's words begin."""
 
@@ -125,8 +160,7 @@ class Words:
         self.start = np.flatnonzero(before & ~space)
         self.end = np.flatnonzero(~before & space) if len(buf) else self.start
         self.bounds = np.searchsorted(self.start, np.concatenate([self.begins, [len(buf)]]))
-        self.sums = prefix_hash(buf)
-        self.hash = spans_hash(self.sums, self.start, self.end)
+        self.hash = word_hashes(buf, self.start, self.end)
 
 
 def runs_hash(h: np.ndarray, n: int) -> np.ndarray:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b); component is the smallest node reachable.
 
     Each round is two group-bys and two joins on the edge table, staged in the shared folder. A node with many
-    neighbours is a hot key of an inner join only, which adaptive execution splits. No edges: no rows.
+    neighbours is a hot key of an inner join only, which adaptive execution splits. Rounds go on until one changes nothing. No edges: no rows.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         now = staged(_small(_large(now)), "edges")
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if sign == seen:

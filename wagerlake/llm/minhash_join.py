@@ -1,39 +1,42 @@
 """Near-duplicate documents: chosen-path set similarity join over minwise tokens.
 
-Every document's set of 5-word shingles is embedded as SLOTS minwise tokens. Independent trees branch on a few slots
-chosen by the node's path; a document goes to the child named by its own token there. Nodes of a few documents are
-compared exhaustively, larger ones branch again, and at the last depth the rest are compared block by block, so no
-node is cut short. Candidates that two sketches don't rule out are confirmed on full shingle sets: 4 bits of each
-token, and the parity of the set's hashes in PARITY places. Sets differ in at least as many elements as their parities
-do, so the second loses no pair; it is sharp for sets up to about PARITY shingles, the first serves beyond.
-
-Before the trees, one pass over the first nodes links each document with the node's smallest one. Nodes whose
-documents are linked already have nothing left to find; large groups of copies so cost a row each, not a pair each.
+Every document's set of 5-word shingles is embedded as SLOTS minwise tokens. Independent trees branch on one or two slots chosen by the
+node's key, FAN on average; a document goes to the child named by its own token there. A pair of similarity s shares s * FAN children a
+level: pairs under 1 / FAN thin out, pairs at the threshold keep a chance in every tree (recall() gives it for any depth).
+Branching is by the data alone: a node whose documents are linked already is done, one of at most LEAF documents is
+compared exhaustively, a larger one branches, unless that would not lessen the pairs to compare (its documents are all too alike for
+that); then it is compared exhaustively too, block by block, so no node is cut short and no depth is set.
+
+A comparison looks at packed sketches in numpy: set sizes, 4 bits of each token, and the parity of the set's hashes in PARITY places. Sets
+differ in at least as many elements as their parities do, so the last loses no pair; it is sharp for sets up to about PARITY shingles, the
+tokens serve beyond. What the sketches leave is confirmed on full shingle sets.
+
+Before the comparison, one pass over the first nodes links each document with the node's smallest one. Large groups of copies so
+cost a row each, not a pair each.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, mix, runs_hash, same_rows, staged
 from .components import components
 
 SLOTS = 64
-#: Trees, children of a node, documents of a node compared at once, and depth. A pair at the threshold follows a child
-#: with probability 0.75; with two children it reaches any depth with 0.88, and six trees miss it with under 1e-5.
-TREES, FAN, LEAF, DEPTH = 6, 2, 48, 4
-#: Bits of the parity sketch, and the columns of both sketches.
-PARITY = 1024
-TOKEN_BITS = [f"k{i}" for i in range(SLOTS // 16)]
-PARITY_BITS = [f"o{i}" for i in range(PARITY // 64)]
+#: Trees; children of a node on average, between 1 and 2; documents compared at once; share of a node's pairs that its children may still have to compare.
+TREES, FAN, LEAF, SHRINK = 10, 1.4, 1024, 0.9
+#: Bits of the parity sketch, bytes of shingle sets that are confirmed together, standard deviations of token differences that are let pass.
+PARITY, SET_BYTES, SIGMAS = 1024, 4 << 20, 6
+#: 64-bit words of a sketch: set size, 4 bits a token, parities.
+WORDS = 1 + SLOTS // 16 + PARITY // 64
 _A = np.random.default_rng(11).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(12).integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 
@@ -64,158 +67,243 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray, mins: np.ndarray) -> bytes:
+    nibble = ((mins & 15).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+    return np.concatenate([[len(shingles)], nibble.view(np.int64), parities(shingles)]).tobytes()
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = batch["text"].tolist()
-        for first, raws in blocks(texts):
+        for first, raws in blocks(batch["text"].tolist()):
             rows = []
             for s in shingle_sets(raws):
                 m = minwise(s)
-                nibble = ((m & 15).astype(np.uint64).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
                 d1 = (np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else np.uint64(0)).astype(np.int64)
                 d2 = mix(s * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64).astype(np.int64)
-                rows.append((len(s), d1, d2, m.astype(np.int32), *nibble.view(np.int64), *parities(s)))
-            part = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "mins", *TOKEN_BITS, *PARITY_BITS])
-            part.insert(0, "doc_id", batch["doc_id"].to_numpy()[first : first + len(raws)])
+                rows.append((len(s), d1, d2, m.astype(np.int32), sketch(s, m)))
+            part = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "mins", "sketch"])
+            for c in ("text_key", "doc_id"):
+                part.insert(0, c, batch[c].to_numpy()[first : first + len(raws)])
             yield part
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, by which rows that repeat a doc_id are told apart; null ids are left out."""
+    rows = same_rows(docs, "doc_id", "text").where("doc_id is not null")
+    return rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
+
+
+def text_key():
+    return F.xxhash64(F.col("text").cast("string"), F.lit(3)).alias("text_key")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, its minwise tokens, their 4-bit sketch and the set's parity sketch."""
-    bits = ", ".join(f"{c} long" for c in TOKEN_BITS + PARITY_BITS)
-    return same_rows(docs, "doc_id", "text").where("doc_id is not null").mapInPandas(_sketches, f"doc_id long, n_shingles long, d1 long, d2 long, mins array<int>, {bits}")
+    """doc_id, text_key, n_shingles, a 128-bit digest of the set, its minwise tokens and its sketch."""
+    return keyed(docs).mapInPandas(_sketches, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, mins array<int>, sketch binary")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for first, raws in blocks(batch["text"].tolist()):
-            yield pd.DataFrame({"id": batch["doc_id"].to_numpy()[first : first + len(raws)], "shingles": [s.tobytes() for s in shingle_sets(raws)]})
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[first : first + len(raws)], "shingles": [s.tobytes() for s in shingle_sets(raws)]})
 
 
 def _linked(threshold: int):
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good[i] = both > 0 and 100 * both >= threshold * (len(p) + len(q) - both)
-            yield batch.loc[good, ["a", "b"]]
+            a, x, others = (batch.column(c) for c in ("a", "x", "others"))
+            left, right = [], []
+            for i in range(len(batch)):
+                p, some = np.frombuffer(x[i].as_buffer(), np.uint64), others[i].values
+                ids, sets = some.field("b").to_numpy(), some.field("y")
+                for k in range(len(ids)):
+                    q = np.frombuffer(sets[k].as_buffer(), np.uint64)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if both and 100 * both >= threshold * (len(p) + len(q) - both):
+                        left.append(a[i].as_py())
+                        right.append(int(ids[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return judge
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach threshold percent; only documents of some pair are read again."""
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = same_rows(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = staged(text.mapInPandas(_sets, "id long, shingles binary"), "sets")
-    x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_linked(threshold), "a long, b long")
-
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of reps (id, doc_id, text_key) whose full shingle sets reach threshold percent.
 
-def _unlike(left: str, right: str) -> Column:
-    """Slots whose 4-bit sketches differ."""
-    total = None
-    for k in TOKEN_BITS:
-        x = F.col(f"{left}.{k}").bitwiseXOR(F.col(f"{right}.{k}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = F.bit_count(x) if total is None else total + F.bit_count(x)
-    return total
+    Only documents of some pair are read again. The set of b travels once a pair, that of a once for about SET_BYTES of its partners' sets.
+    """
+    pairs = staged(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(reps, "id")
+    text = keyed(docs).join(wanted, ["doc_id", "text_key"]).groupBy("id").agg(F.first("text").alias("text"))  # equal texts all
+    sets = staged(text.mapInPandas(_sets, "id long, shingles binary"), "sets")
+    sized = pairs.join(sets.select(F.col("id").alias("b"), F.octet_length("shingles").alias("size")), "b")
+    cells = sized.groupBy("a").agg(F.ceil(F.sum("size") / SET_BYTES).alias("cells"))
+    dealt = sized.join(cells, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"))
+    side = lambda k, v: sets.select(F.col("id").alias(k), F.col("shingles").alias(v))
+    grouped = dealt.join(side("b", "y"), "b").groupBy("a", "cell").agg(F.collect_list(F.struct("b", "y")).alias("others"))
+    return grouped.join(side("a", "x"), "a").select("a", "x", "others").mapInArrow(_linked(threshold), "a long, b long")
 
 
-def _odd(left: str, right: str) -> Column:
-    """Places whose parities differ: at most the number of elements that one set has and the other hasn't."""
-    return reduce(add, (F.bit_count(F.col(f"{left}.{o}").bitwiseXOR(F.col(f"{right}.{o}"))) for o in PARITY_BITS))
+def most_unlike(threshold: int) -> int:
+    """Differing token bits allowed: SIGMAS standard deviations beyond what a pair at the threshold shows."""
+    p = (1 - threshold / 100) * 15 / 16
+    return math.ceil(SLOTS * p + SIGMAS * math.sqrt(SLOTS * p * (1 - p)))
 
 
-def _may_link(left: str, right: str, threshold: int) -> Column:
-    """Whether sizes and sketches leave the threshold possible.
+def may_link(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sizes and sketches leave the threshold possible; x and y broadcast against each other, words in the last place.
 
     The smaller set must have threshold percent of the larger one, and linked sets of m and n elements differ in at
     most (m + n) * (100 - threshold) / (100 + threshold) of them.
     """
-    m, n = F.col(f"{left}.n"), F.col(f"{right}.n")
-    sizes = 100 * F.least(m, n) >= threshold * F.greatest(m, n)
-    return sizes & (_unlike(left, right) <= most_unlike(threshold)) & ((100 + threshold) * _odd(left, right) <= (100 - threshold) * (m + n))
+    m, n = x[..., 0].astype(np.int64), y[..., 0].astype(np.int64)
+    apart = x ^ y
+    odd = np.bitwise_count(apart[..., 1 + SLOTS // 16 :]).sum(axis=-1, dtype=np.int64)
+    t = apart[..., 1 : 1 + SLOTS // 16]
+    t = t | (t >> np.uint64(1))
+    t = (t | (t >> np.uint64(2))) & np.uint64(0x1111111111111111)
+    unlike = np.bitwise_count(t).sum(axis=-1, dtype=np.int64)
+    return (100 * np.minimum(m, n) >= threshold * np.maximum(m, n)) & ((100 + threshold) * odd <= (100 - threshold) * (m + n)) & (unlike <= most_unlike(threshold))
 
 
-def most_unlike(threshold: int) -> int:
-    """Differing slots allowed: 4.5 standard deviations beyond what a pair at the threshold shows."""
-    p = (1 - threshold / 100) * 15 / 16
-    return math.ceil(SLOTS * p + 4.5 * math.sqrt(SLOTS * p * (1 - p)))
+def _binary(column: pa.Array) -> np.ndarray:
+    """Sketches, one row of words each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(-1, WORDS)
+
 
+def _ruled(threshold: int):
+    """Pairs (a, b, x, y) that their sketches don't rule out."""
 
-def _branch(rows: DataFrame, fan: int) -> DataFrame:
-    """Children of each row's node: fan slots chosen by the node's key, then the document's own token there."""
-    kids = F.transform(F.sequence(F.lit(1), F.lit(fan)), lambda j: F.pmod(F.xxhash64("key", j, F.lit(5)), F.lit(SLOTS)).cast("int"))
-    return rows.withColumn("slot", F.explode(F.array_distinct(kids))).select(F.xxhash64("key", "slot", F.get("mins", F.col("slot"))).alias("key"), "id")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                good = may_link(_binary(batch.column("x")), _binary(batch.column("y")), threshold)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
+    return judge
 
-def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked at 100 * |A and B| >= threshold * |A or B| on shingle sets.
+
+def _compared(threshold: int):
+    """Rows (x, y): the documents of a node, or those of two blocks of one; pairs of different components that may be linked."""
+
+    def parts(column: pa.Array):
+        ends = np.concatenate([[0], np.cumsum([n or 0 for n in pc.list_value_length(column).to_pylist()])])
+        flat = column.flatten()
+        return ends, flat.field("id").to_numpy(), flat.field("component").to_numpy(), _binary(flat.field("sketch"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ends, ids, comp, words = parts(batch.column("x"))
+            other = parts(batch.column("y"))
+            size, found = np.diff(ends), [np.zeros((2, 0), np.int64)]
+            alone = np.array(batch.column("y").is_null())
+            for n in np.unique(size[alone & (size <= 32)]):  # all small nodes of a size at once
+                i, j = np.triu_indices(n, 1)
+                at = ends[:-1][alone & (size == n)]
+                for some in np.split(at, range(8192, len(at), 8192)):
+                    p, q = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                    on = comp[p] != comp[q]
+                    p, q = p[on], q[on]
+                    on = may_link(words[p], words[q], threshold)
+                    found.append(np.stack([ids[p[on]], ids[q[on]]]))
+            for r in np.flatnonzero(~alone | (size > 32)):
+                a = slice(ends[r], ends[r + 1])
+                of = (ends, ids, comp, words) if alone[r] else other
+                b = slice(of[0][r], of[0][r + 1])
+                for k in range(a.start, a.stop, 64):
+                    s = slice(k, min(k + 64, a.stop))
+                    on = may_link(words[s, None], of[3][None, b], threshold) & (comp[s, None] != of[2][None, b]) & (ids[s, None] != of[1][None, b])
+                    p, q = np.nonzero(on)
+                    found.append(np.stack([ids[s][p], of[1][b][q]]))
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return judge
+
+
+def exhaustive(rows: DataFrame, known: DataFrame, threshold: int, leaf: int) -> DataFrame:
+    """Candidate pairs (a, b) within each node of rows (key, id, n); known: id, component, sketch. n documents make blocks of about leaf."""
+    cells = F.ceil(F.col("n") / leaf).cast("int")
+    rows = rows.select("key", cells.alias("cells"), F.pmod(F.xxhash64("id"), cells).cast("int").alias("i"), "id").join(known, "id")
+    packs = rows.groupBy("key", "cells", "i").agg(F.collect_list(F.struct("id", "component", "sketch")).alias("x"))
+    packs = staged(packs, "packs")
+    one = packs.where("cells = 1").select("x", F.lit(None).cast(packs.schema["x"].dataType).alias("y"))
+    left = packs.where("cells > 1").select("key", "x", "i", F.explode(F.sequence("i", F.col("cells") - 1)).alias("j"))
+    right = packs.where("cells > 1").select("key", F.col("x").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), "i")).alias("i"))
+    two = left.join(right, ["key", "i", "j"]).select("x", "y")
+    return one.unionByName(two).mapInArrow(_compared(threshold), "a long, b long")
+
+
+def _children(rows: DataFrame, fan: float) -> DataFrame:
+    """(parent, key, id) for rows (key, id, mins): one slot or two chosen by the node's key, then the document's own token there."""
+    first = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SLOTS)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SLOTS - 1)), F.lit(SLOTS)).cast("int")
+    both = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1000)) < round((fan - 1) * 1000)
+    slots = F.when(both, F.array(first, second)).otherwise(F.array(first))
+    return rows.withColumn("slot", F.explode(slots)).select(F.col("key").alias("parent"), F.xxhash64("key", "slot", F.get("mins", F.col("slot"))).alias("key"), "id")
+
+
+def recall(similarity: float, depth: int, trees: int = TREES, fan: float = FAN) -> float:
+    """Chance that a pair meets in some node of that depth: a branching process of one or two children, each shared with chance similarity."""
+    lost = 0.0
+    for _ in range(depth):
+        on = 1 - similarity + similarity * lost
+        lost = (2 - fan) * on + (fan - 1) * on * on
+    return 1 - lost**trees
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, fan: float = FAN, leaf: int = LEAF, shrink: float = SHRINK) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key, group_id: documents linked at 100 * |A and B| >= threshold * |A or B| on shingle sets.
 
     docs needs doc_id and text; other columns are ignored. A null doc_id has no row. A null or empty text, or one
     without words, has an empty set: its own component, linked with nothing. Equal sets are always linked. Rows that
-    repeat a doc_id come back as often. An empty table gives no rows.
+    repeat a doc_id come back as often, each in the component of its own text; component_id is the smallest doc_id of the component, group_id
+    (null for empty sets) tells apart components that share one. text_key is the key of a row's text. An empty table gives no rows.
     """
     all_docs = staged(sketched(docs), "sketches")
     full = all_docs.where("n_shingles > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes, "classes")
-    rep = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rep = staged(rep.select(F.col("doc_id").alias("id"), "mins", F.struct(F.col("n_shingles").alias("n"), *TOKEN_BITS, *PARITY_BITS).alias("k")), "reps")
-    sketch = rep.select("id", "k")
-
-    roots = rep.select("id", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select("id", "mins", F.xxhash64("tree", F.lit("root")).alias("key"))
-    first = staged(_branch(roots, FAN), "nodes")
-    heads = first.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    star = first.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    star = star.join(sketch.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("k").alias("y")), "b")
-    star = star.where(_may_link("x", "y", threshold)).select("a", "b")
-    edges = staged(confirmed(star, docs, threshold), "links")
-    found = components(edges)
+    classes = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    classes = staged(classes.select("d1", "d2", "rep.*", F.monotonically_increasing_id().alias("id")), "classes")
+    reps = full.join(classes, ["d1", "d2", "doc_id", "text_key"]).groupBy("id").agg(*(F.first(c).alias(c) for c in ("doc_id", "text_key", "mins", "sketch")))  # rows of a class and an id are equal
+    reps = staged(reps, "reps")
+    names, sketches, mins = reps.select("id", "doc_id", "text_key"), reps.select("id", "sketch"), reps.select("id", "mins")
+
+    roots = reps.select("id", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select("id", "mins", F.xxhash64("tree", F.lit(0)).alias("key"))
+    nodes = staged(_children(roots, fan).select("key", "id"), "nodes")
+    heads = nodes.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    star = nodes.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    edges = staged(confirmed(star.select("a", "b", "x", "y").mapInArrow(_ruled(threshold), "a long, b long"), names, docs, threshold), "links")
 
-    known = rep.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = staged(known.select("id", "component", "mins", "k"), "known")
-    pairs, nodes = None, first
-    for level in range(1, depth + 1):
-        rows = nodes.join(known.select("id", "component"), "id")
+    found = components(edges)
+    known = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sketch")
+    known = staged(known, "known")
+    label, done = known.select("id", "component"), []
+    while True:
+        rows = nodes.join(label, "id")
         size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-        rows = staged(rows.join(size, "key"), "open")
-        small = rows.where(F.col("n") <= leaf).select("key", "id", "component", F.lit(0).alias("cell")) if level < depth else rows.select("key", "id", "component", F.lit(0).alias("cell"))
-        here = _compared(small, known, threshold, split=leaf if level == depth else 0)
-        pairs = here if pairs is None else pairs.unionByName(here)
-        if level < depth:
-            large = rows.where(F.col("n") > leaf)
-            if large.isEmpty():
-                break
-            nodes = staged(_branch(large.join(known.select("id", "mins"), "id").select("key", "id", "mins"), FAN), "nodes")
-    more = confirmed(pairs.distinct(), docs, threshold)
-    edges = edges.unionByName(more)
-    final = components(edges)
-    classes = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    with_words = full.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    return with_words.unionByName(all_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _compared(rows: DataFrame, known: DataFrame, threshold: int, split: int) -> DataFrame:
-    """Pairs of one node that differ in component and agree in sketch; split deals a node's documents to cells of about that many.
-
-    Two documents may share several nodes of a level; the pair is made in the one of the least key only.
-    """
-    mine = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    rows = rows.join(mine, "id").join(known.select("id", "k"), "id")
-    if split:
-        cells = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(split)).cast("int").alias("cells"))
-        rows = rows.join(cells, "key")
-        left = rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
-        right = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    else:
-        left = right = rows
-    x = left.select("key", "cell", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("k").alias("x"), F.col("keys").alias("kx"))
-    y = right.select("key", "cell", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("k").alias("y"), F.col("keys").alias("ky"))
-    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
-    return x.join(y, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link("x", "y", threshold) & once).select("a", "b")
+        rows = staged(nodes.join(size, "key"), "open")
+        done.append(rows.where(F.col("n") <= leaf))
+        large = rows.where(F.col("n") > leaf)
+        if large.isEmpty():
+            break
+        kids = staged(_children(large.join(mins, "id"), fan), "kids")
+        pairs = kids.groupBy("parent", "key").agg(F.count("*").cast("double").alias("m")).groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+        stuck = large.groupBy("key").agg(F.max("n").alias("n")).join(pairs.withColumnRenamed("parent", "key"), "key").where(F.col("pairs") >= shrink * F.col("n") * F.col("n")).select("key")
+        stuck = staged(stuck, "stuck")
+        done.append(large.join(stuck, "key", "left_semi"))
+        nodes = staged(kids.join(stuck.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "id"), "nodes")
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    edges = edges.unionByName(confirmed(exhaustive(rows, known, threshold, leaf), names, docs, threshold))
+
+    final = names.select("id", "doc_id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("group_id"))
+    final = staged(final, "components")
+    least = final.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    of_class = classes.select("d1", "d2", "id").join(final.select("id", "group_id"), "id").join(least, "group_id").select("d1", "d2", "component_id", "group_id")
+    with_words = full.select("doc_id", "n_shingles", "text_key", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", "text_key", "group_id")
+    return with_words.unionByName(all_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("group_id")))

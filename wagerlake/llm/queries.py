@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Words, blocks, mix, runs_hash, same_rows, spans_hash
+from .common import Words, blocks, mix, runs_hash, same_rows
 
 #: Most of a text's word characters that may stand in repeated word n-grams, by n.
 MOST_IN_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -38,6 +38,18 @@ def repeated(key: np.ndarray, owner: np.ndarray, first_too: bool) -> np.ndarray:
     return out
 
 
+def _lines_again(raw: bytes, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which lines are equal, byte by byte, to an earlier one of their text."""
+    out, seen, now = np.zeros(len(begin), bool), set(), -1
+    for i, (t, a, b) in enumerate(zip(text.tolist(), begin.tolist(), end.tolist(), strict=True)):
+        if t != now:
+            seen, now = set(), t
+        line = raw[a:b]
+        out[i] = line in seen
+        seen.add(line)
+    return out
+
+
 def _covered(w: Words, owner: np.ndarray, n: int, first_too: bool) -> np.ndarray:
     """Which words stand in a repeated run of n words of their text."""
     h = runs_hash(w.hash, n)
@@ -62,7 +74,7 @@ def measured(raws: list[bytes]) -> pd.DataFrame:
     counted = np.searchsorted(w.start, close) > np.searchsorted(w.start, begin)
     begin, close = begin[counted], close[counted]
     line_of = np.searchsorted(w.ends, begin)
-    again = repeated(spans_hash(w.sums, begin, close), line_of, False)
+    again = _lines_again(w.buf.tobytes(), line_of, begin, close)
     length = point[close] - point[begin]
     lines, dup = np.bincount(line_of, minlength=k), np.bincount(line_of[again], minlength=k)
     out["n_dup_lines"] = dup
@@ -89,6 +101,7 @@ def repetition(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): counts, shares of repeated n-grams and lines, base_failed and kept.
 
     A null text, like an empty one, has no words, all counts 0, and fails. Repeated rows come back each; an empty
-    table gives none. Words are [^\\x20\\x09-\\x0D]+; a line counts if it has a word.
+    table gives none. Words are [^\\x20\\x09-\\x0D]+; a line counts if it has a word. Lines are compared by their bytes, n-grams
+    by 64-bit hashes within their own text.
     """
     return same_rows(docs, "doc_id", "text").mapInPandas(_run, SCHEMA)
