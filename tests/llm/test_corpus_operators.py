@@ -241,6 +241,33 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert got[3].headers == {"etag": "W/A", "date": "50", "server": "1"} and got[4].payload == "body2"
 
 
+RECORDS = "record_id long, kind string, url string, ts long, headers map<string,string>, payload string, outcome string"
+
+
+def test_revisits_of_one_record_id_keep_their_own_headers(spark):
+    rows = [(1, "response", "http://a.b/x", 10, {"etag": "A", "server": "s"}, "body", "o"), (1, "response", "http://a.b/y", 10, {"last-modified": "L"}, "other", "o"), (1, "response", "http://a.b/y", 10, {"last-modified": "L"}, "other", "o")]
+    rows += [(2, "revisit", "http://a.b/x", 20, {"etag": "A", "date": d}, None, "o") for d in ("d1", "d2", "d2")]
+    rows += [(3, "revisit", "http://a.b/y", 20, {"last-modified": "L"}, None, "o"), (4, "revisit", "http://a.b/y", 20, {"last-modified": "M"}, None, "o"), (5, "revisit", "http://a.b/y", 20, {"date": "d"}, None, "o"), (6, "revisit", "http://a.b/y", 20, None, None, "o"), (7, "revisit", None, 20, {"etag": "A"}, None, "o"), (8, "other", None, 20, {}, None, "o")]
+    got = warc_revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()
+    assert sorted(r.headers["date"] for r in got if r.record_id == 2) == ["d1", "d2", "d2"]
+    assert {r.record_id: r.outcome for r in got} == {2: "resolved", 3: "resolved", 4: "validator_mismatch", 5: "no_validator", 6: "no_validator", 7: "no_response"}
+    assert [r.payload for r in got if r.record_id == 3] == ["other"] and len(got) == 8
+
+
+def test_revisits_with_tied_times_take_the_largest_id(spark):
+    rows = [(i, "response", "a.b/x", 10, {"etag": "A"}, f"p{i}", "o") for i in (4, 9, 2)] + [(20, "revisit", "A.B/x?utm_x=1", 11, {"etag": "A"}, None, "o")]
+    got = warc_revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()
+    assert [(r.ref_id, r.payload) for r in got] == [(9, "p9")]
+
+
+def test_captures_of_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", "<p>"), (2, "http://a.b/z", None), (3, None, "<p>"), (1, "http://a.b/x", "<p>")], "page_id long, url string, html string").withColumn("headers", F.lit(1))
+    got = warc_revisits.resolve(warc_revisits.captures(pages)).collect()
+    assert len(got) == 8 and {r.outcome for r in got if r.record_id == 7} == {"no_validator"}
+    assert {r.outcome for r in got if r.record_id in (10, 11)} == {"no_response"}
+    assert warc_revisits.resolve(warc_revisits.captures(pages.limit(0))).count() == 0
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     ids = empty.select("doc_id", "lang")
     assert minhash_join.near_duplicates(empty).count() == 0
@@ -249,6 +276,157 @@ def test_empty_tables_give_no_rows(spark, empty):
     assert language_id.identify(empty, ids, ids).count() == 0
     assert repetition.repetition(empty).count() == 0
     assert packing.pack(packing.word_lengths(empty)).count() == 0
+    assert embedding_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_tables_of_unsound_vectors_have_no_links(spark):
+    got = embedding_join.near_duplicates(spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, []), (3, [float("inf"), 1.0])], "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (3, 0, 3)]
+
+
+def test_vectors_are_compared_in_double_precision(spark):
+    """Two doubles whose cosine is just below the threshold, and would reach it as floats."""
+    a = np.zeros(6)
+    a[0] = 1
+    b = a * 0.95
+    b[1] = math.sqrt(1 - 0.95**2) * (1 + 3e-9)
+    rows = [(1, a.tolist()), (2, b.tolist()), (3, (a * 0.95 + np.eye(6)[2] * math.sqrt(1 - 0.95**2) * (1 - 3e-9)).tolist())]
+    got = embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 1), (2, 0), (3, 1)]
+
+
+def test_lines_with_equal_polynomial_hashes_are_told_apart():
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    out = repetition.measured([f"{thue}\n{other}\n{thue}".encode(), f"{thue} {other} x {thue} {other} y".encode()])
+    assert out["n_dup_lines"].tolist() == [1, 0] and out["n_repeat_words"].tolist() == [0, 0]
+
+
+def plain_verdict(text):
+    words, lines = text.split(), [x for x in text.split("\n") if x.split()]
+    n3 = Counter(tuple(words[j : j + 3]) for j in range(len(words) - 2))
+    hit = {k for j in range(len(words) - 2) if n3[tuple(words[j : j + 3])] > 1 for k in range(j, j + 3)}
+    if len(words) < 50 or 100 * len(hit) > 50 * len(words):
+        return False
+    for n, most in repetition.MOST_IN_NGRAMS.items():
+        seen, cover = set(), set()
+        for j in range(len(words) - n + 1):
+            g = tuple(words[j : j + n])
+            cover |= set(range(j, j + n)) if g in seen else set()
+            seen.add(g)
+        if sum(len(words[k]) for k in cover) / sum(map(len, words)) > most:
+            return False
+    again = [x for k, x in enumerate(lines) if x in lines[:k]]
+    return len(again) / len(lines) <= 0.3 and sum(map(len, again)) / sum(map(len, lines)) <= 0.2
+
+
+def test_repetition_verdicts(spark):
+    rnd = random.Random(31)
+    own = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    texts = [own(80), own(30), *(f"{(p := own(k))} {own(100)} {p}" for k in (4, 6, 9, 14, 20, 40)), *("\n".join([*(own(9) for _ in range(8)), *[own(m)] * k]) for k in (2, 4, 7) for m in (1, 9)), "same line\n" * 60]
+    got = repetition.measured([t.encode() for t in texts])["kept"].tolist()
+    assert got == [plain_verdict(t) for t in texts] and len(set(got)) == 2
+
+
+def plain_models(texts, clean, order=5):
+    return lambda query: plain_bits([clean(np.frombuffer(b"\0" + t.encode() + b"\0", np.uint8)).tobytes().strip(b"\0") for t in texts], clean(np.frombuffer(b"\0" + query.encode() + b"\0", np.uint8)).tobytes().strip(b"\0"), order)
+
+
+def test_languages_match_plain_models(spark):
+    """Predictions, scores and rejections against models by definition; one id with two texts, one with two langs."""
+    rnd = random.Random(16)
+    kinds = {"en": ["the", "of", "and", "thing"], "de": ["der", "die", "und", "über"]}
+    rows = [(i, " ".join(rnd.choice(kinds[lang]) for _ in range(9)), lang) for i, lang in enumerate(["en", "de"] * 12)]
+    rows += [(40, "thing and zq of", None), (40, None, None), (41, "der und 12 thing", None), (42, "12 !", "en"), (43, "qqq " * 12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    teach = docs.where("doc_id < 16").select("doc_id", "lang").unionByName(spark.createDataFrame([(0, "zz")], "doc_id long, lang string"))
+    calibrate = docs.where("doc_id between 16 and 23").select("doc_id", "lang")
+    got = language_id.identify(docs, teach, calibrate).collect()
+    models = {lang: plain_models([t for i, t, x in rows[:16] if x == lang], language_id.letters) for lang in kinds}
+    bits = {}
+    for i, t, lang in rows:
+        if t and any(c.isalpha() for c in t):
+            each = {x: float(np.mean(m(t))) for x, m in models.items()}
+            bits[i, t] = (min(each, key=lambda x: (round(each[x], 3), x)), each)
+    own = {lang: max(bits[i, t][1][lang] for i, t, x in rows[16:24] if x == lang and bits[i, t][0] == lang and len(language_id.letters(np.frombuffer(t.encode(), np.uint8))) >= language_id.SHORT) for lang in kinds}
+    assert len(got) == len(rows) and sorted(r.lang_pred for r in got if r.doc_id == 40) == sorted(["und", bits[40, "thing and zq of"][0]])
+    for r in got:
+        texts = [t for i, t, _ in rows if i == r.doc_id and (i, t) in bits]
+        if r.lang_pred != "und":
+            best, each = bits[r.doc_id, texts[0]]
+            share = 1 / sum(2 ** (language_id.WEIGHT * (each[best] - b)) for b in each.values())
+            assert r.lang_pred == best and abs(r.score - share) < 0.03 and abs(r.cross_entropy - each[best]) < 0.003
+            long = len(language_id.letters(np.frombuffer(texts[0].encode(), np.uint8))) >= language_id.SHORT
+            if abs(each[best] - own[best] - language_id.SLACK) > 0.01:
+                assert r.accepted == (not long or each[best] <= own[best] + language_id.SLACK)
+    assert not next(r for r in got if r.doc_id == 43).accepted
+
+
+def test_quality_thresholds_match_plain_models(spark):
+    """Perplexities, the threshold (the quantile of held-out trusted documents) and verdicts by definition; ties of lang by name."""
+    rnd = random.Random(18)
+    rows = [(i, prose(rnd, 30), "xx") for i in range(40)] + [(90, "zqk 9#8 " * 9, "xx"), (91, prose(rnd, 14), "aa"), (91, prose(rnd, 14), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(quality_lm.FOLDS)).alias("f")).collect()}
+    got = quality_lm.classify(docs, docs.where("doc_id < 30").select("doc_id")).collect()
+    model = plain_models([t for i, t, _ in rows if i < 30 and fold[i] > 0], quality_lm.written)
+    held = sorted(float(np.mean(model(t))) for i, t, _ in rows if i < 30 and fold[i] == 0)
+    limit = held[math.ceil(quality_lm.QUANTILE * len(held)) - 1] + quality_lm.SLACK
+    assert all(r.lang == "aa" and r.perplexity is None and r.kept for r in got if r.doc_id == 91)
+    for r in (r for r in got if r.doc_id < 91):
+        bits = float(np.mean(model(next(t for i, t, _ in rows if i == r.doc_id))))
+        assert abs(r.bits - bits) < 0.003 and abs(r.perplexity - 2**bits) < 0.01 * 2**bits and abs(r.threshold - limit) < 0.003
+        assert r.kept == (bits <= limit) or abs(bits - limit) < 0.003
+    assert not next(r for r in got if r.doc_id == 90).kept
+
+
+def plain_packing(sizes, lengths, overhead):
+    """Best fit, one piece after the other over a plain list of bins."""
+    left, bins, out = sum(sizes), [], []
+    for n in sizes:
+        fits = [(room - n, -len(used), k) for k, (room, used) in enumerate(bins) if room >= n]
+        if fits:
+            k = min(fits)[2]
+        else:
+            cap = min((c for c in sorted(lengths) if c >= n), key=lambda c: (c + overhead) / min(c, left))
+            bins.append((cap, []))
+            k = len(bins) - 1
+        room, used = bins[k]
+        bins[k] = (room - n, [*used, n])
+        left -= n
+        out.append(room - n)
+    return out, [min(c for c in sorted(lengths) if c >= sum(used)) for _, used in bins]
+
+
+def test_best_fit_matches_a_plain_search():
+    rnd = random.Random(23)
+    for trial in range(40):
+        sizes = sorted((rnd.choice([rnd.randint(1, 4096), rnd.randint(1, 60), 512]) for _ in range(rnd.randint(1, 120))), reverse=True)
+        where, offset, length = packing.best_fit(np.array(sizes), (512, 1024, 2048, 4096), 64)
+        left, caps = plain_packing(sizes, (512, 1024, 2048, 4096), 64)
+        assert len(length) == len(caps) and sorted(length.tolist()) == sorted(caps), trial
+        fill = defaultdict(int)
+        for b, o, n in zip(where.tolist(), offset.tolist(), sizes, strict=True):
+            assert o == fill[b]
+            fill[b] += n
+
+
+def test_pieces_of_one_document_and_repeated_rows_are_dealt_apart(spark):
+    rows = [(1, 4096 * 400), *[(2, 100)] * 400]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), group=100).collect()
+    for doc in (1, 2):
+        groups = Counter(r.bin_id >> 32 for r in got if r.doc_id == doc)
+        assert sum(groups.values()) == 400 and max(groups.values()) < 200
+
+
+def test_a_pipeline_leaves_other_results_alone(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, prose(random.Random(i), 60), "xx", "s", 0) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = packing.pack(spark.createDataFrame([(1, 10)], "doc_id long, n_tokens long"))
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert [r.n_tokens for r in before.collect()] == [10]
 
 
 def test_pipeline_keeps_one_of_each_group(spark, tmp_path):

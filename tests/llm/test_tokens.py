@@ -33,6 +33,36 @@ def test_bpe_streams_as_the_library_encodes(spark):
         assert back[i] == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_controls_and_repeated_rows(spark):
+    """Every C0 and C1 control and white space of any kind between, before and behind letters; clashing columns, null ids, repeated rows."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    odd = [chr(i) for i in (*range(32), *range(127, 161), 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    texts = [t for c in odd for t in (f"a{c}b", f"{c}!{c}{c}x", f"it{c}'s", c)] + ["x\u0308\u2000e\u0301 <|endoftext|>\x1c", "q" * 70 + "\x1d" + "é" * 300, None]
+    rows = [(i if i % 7 else None, t, "ids", i) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
+    want = []
+    for i, t, *_ in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_stream.digests(docs, path).collect()) == sorted(want)
+
+
+def test_bpe_holds_a_bounded_number_of_tokens(monkeypatch):
+    coder = bpe_stream.loaded(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe_stream, "RUN", 5)
+    names = {i: str(i) for i in coder.token}
+    text = "streams of words, é and 🙂 " * 40 + "z" * 500
+    ids, digest = list(coder.encode(text)), bpe_stream.digest(coder, names, text)
+    import hashlib
+
+    assert digest == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256("".join(coder.decode(ids)).encode()).hexdigest())
+
+
 def test_bpe_window_is_bounded():
     coder = bpe_stream.loaded(P.path("word_bpe_49k.json"))
     seen = []
@@ -70,6 +100,13 @@ def test_token_counts_as_the_library_counts(spark, chunk, overlap):
     assert key(got) == key(want)
 
 
+def test_token_counts_ignore_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", 7, "x"), (1, "one two", 8, "y"), (None, None, 9, "z")], "doc_id long, text string, n_tokens int, row string")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).collect())
+    n = len(token_counts.processor(P.path("piece_bpe_32k.model")).encode("one two"))
+    assert got == [("1", n), ("1", n), ("None", 0)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).count() == 0

@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import same_rows
 
+#: The code points with the property White_Space, which is what the tokenizers library takes for \\s.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct words whose ids a worker remembers before it starts anew.
 MEMORY = 600_000
 NEVER = 1 << 60
+#: Tokens that are held at once.
+RUN = 4096
 _loaded: dict[str, BytePairs] = {}
 
 
@@ -49,7 +53,8 @@ class BytePairs:
         self.token = {i: t for t, i in self.ids.items()}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]"))
+        self.pieces = regex.compile(f"[^{WHITE}]+")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.joint = "" if spec.get("decoder") else " "
         self.letters = byte_letters()
@@ -61,7 +66,7 @@ class BytePairs:
         self.words_known: dict[str, tuple[int, ...]] = {}
 
     def normal(self, text: str) -> str:
-        """NFC, runs of white space as one space, and every code point's own lower case."""
+        """NFC and every code point's own lower case of a piece without white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
@@ -102,43 +107,58 @@ class BytePairs:
                     return
 
     def symbols(self, word: str) -> Iterator[str]:
-        raw = word.encode("utf-8", "surrogatepass")
-        for b in raw[:-1]:
-            yield self.letters[b]
+        for c in word[:-1]:
+            yield from map(self.letters.__getitem__, c.encode("utf-8", "surrogatepass"))
+        raw = word[-1].encode("utf-8", "surrogatepass")
+        yield from map(self.letters.__getitem__, raw[:-1])
         yield self.letters[raw[-1]] + self.end
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a match of the split pattern; short ones are remembered."""
+    def of_word(self, word: str) -> Iterable[int]:
+        """Ids of a match of the split pattern; those of short ones are remembered, those of long ones come as they are found."""
+        if len(word) > 64:
+            return self.word(self.symbols(word))
         if (ids := self.words_known.get(word)) is None:
             symbols = list(self.symbols(word))
             ids = tuple(map(self.ids.__getitem__, self.merged(symbols))) if len(symbols) < self.reach else tuple(self.word(iter(symbols)))
-            if len(word) <= 64:
-                if len(self.words_known) >= MEMORY:
-                    self.words_known.clear()
-                self.words_known[word] = ids
+            if len(self.words_known) >= MEMORY:
+                self.words_known.clear()
+            self.words_known[word] = ids
         return ids
 
+    def plain(self, text: str) -> Iterator[tuple[str, bool]]:
+        """(part, whether it is a special token's own string), from left to right."""
+        at = 0
+        for m in self.parts.finditer(text) if self.parts else ():
+            yield text[at : m.start()], False
+            yield m[0], True
+            at = m.end()
+        yield text[at:] if at else text, False
+
     def encode(self, text: str) -> Iterator[int]:
-        """Ids of text, word by word; a special token's own string is that token."""
+        """Ids of text, word by word; a special token's own string is that token. White space parts words, so each is normalised by itself."""
         known = self.known
-        for k, part in enumerate(self.parts.split(text) if self.parts else [text]):
-            if k % 2:
+        for part, special in self.plain(text):
+            if special:
                 yield self.special[part]
                 continue
-            for piece in self.normal(part).split():
+            for m in self.pieces.finditer(part):
+                piece = m[0]
                 if (ids := known.get(piece)) is None:
-                    ids = tuple(i for w in self.words.findall(piece) for i in self.of_word(w))
-                    if len(piece) <= 64:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        known[piece] = ids
+                    if len(piece) > 64:
+                        for w in self.words.finditer(self.normal(piece)):
+                            yield from self.of_word(w[0])
+                        continue
+                    ids = tuple(i for w in self.words.findall(self.normal(piece)) for i in self.of_word(w))
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    known[piece] = ids
                 yield from ids
 
     def raw(self, i: int) -> bytes:
         token = self.token[i]
         return bytes(map(self.byte_of.__getitem__, token)) if self.decoder == "ByteLevel" and token not in self.special else token.encode()
 
-    def decode(self, ids: Iterable[int], run: int = 4096) -> Iterator[str]:
+    def decode(self, ids: Iterable[int], run: int = RUN) -> Iterator[str]:
         """Text of ids, a run of tokens at a time: an incremental UTF-8 machine holds back what no character is yet."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         ids, lead, joint = iter(ids), b"", self.joint.encode()
@@ -209,22 +229,31 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts go through the coder and back a run of tokens at a time."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts go through the coder and back a run of tokens at a time.
+
+    One row for each row of docs, also where rows repeat; a null text is the empty one; a null doc_id keeps its row; an empty table gives none; extra
+    columns are ignored. Beside the text itself a task holds one word at most and RUN tokens.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = loaded(path)
         names: dict[int, str] = {i: str(i) for i in coder.token}
         for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                ids = list(coder.encode(t)) if isinstance(t, str) else []
-                there = hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode())
-                back = hashlib.sha256()
-                for piece in coder.decode(ids):
-                    back.update(piece.encode())
-                rows.append((len(ids), there.hexdigest(), back.hexdigest()))
+            rows = [digest(coder, names, t if isinstance(t, str) else "") for t in batch["text"]]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"])
             yield out
 
     return same_rows(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def digest(coder: BytePairs, names: dict[int, str], text: str) -> tuple[int, str, str]:
+    """Tokens of text, and the digests of ids and of what they decode to: one generator feeds both, RUN tokens at a time."""
+    ids, n, there, back = coder.encode(text), 0, hashlib.sha256(), hashlib.sha256()
+    machine, joint = codecs.getincrementaldecoder("utf-8")("replace"), coder.joint.encode()
+    while some := list(islice(ids, RUN)):
+        there.update((" " if n else "").encode() + " ".join(map(names.__getitem__, some)).encode())
+        back.update(machine.decode((joint if n else b"") + joint.join(map(coder.bytes.__getitem__, some))).encode())
+        n += len(some)
+    back.update(machine.decode(b"", final=True).encode())
+    return n, there.hexdigest(), back.hexdigest()

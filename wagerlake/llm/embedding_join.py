@@ -34,7 +34,8 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, part in batch.groupby(batch["v"].map(len)):
             u = _unit(np.stack(part["v"].to_numpy()).astype(np.float64))
             total[d] = total.get(d, 0) + u.T @ u
-    yield pd.DataFrame({"d": list(total), "m": [m.ravel() for m in total.values()]}, columns=["d", "m"])
+    if total:
+        yield pd.DataFrame({"d": list(total), "m": [m.ravel() for m in total.values()]})
 
 
 def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -52,7 +53,7 @@ def _tile_pair(basis: dict[int, np.ndarray], threshold: float):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                a, b = (np.frombuffer(x, np.float32).reshape(-1, r.d).astype(np.float64) for x in (r.va, r.vb))
+                a, b = (np.frombuffer(x, np.float64).reshape(-1, r.d) for x in (r.va, r.vb))
                 ia, ib = np.frombuffer(r.ia, np.int64), np.frombuffer(r.ib, np.int64)
                 na, nb = np.frombuffer(r.na, np.int64), np.frombuffer(r.nb, np.int64)
                 i, j = linked(a, b, basis[r.d], threshold, r.a == r.b)
@@ -112,22 +113,22 @@ def _coordinates(basis: dict[int, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             c = [(_unit(np.asarray(v, np.float64)[None]) @ basis[len(v)])[0, :BOX] for v in batch["v"]]
-            yield pd.DataFrame({"rep": batch["rep"], "copies": batch["copies"], "d": batch["v"].map(len), "v": [np.asarray(v, np.float32).tobytes() for v in batch["v"]], "c": c})
+            yield pd.DataFrame({"rep": batch["rep"], "copies": batch["copies"], "d": batch["v"].map(len), "v": [np.asarray(v, np.float64).tobytes() for v in batch["v"]], "c": c})
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE) -> DataFrame:
-    """vec_id, n_links, component_id for rows (vec_id, embedding array<float>), by cosine >= threshold in double precision.
+    """vec_id, n_links, component_id for rows (vec_id, embedding array of float or double), by cosine >= threshold in double precision.
 
     Null vectors, zero ones and such with null or non-finite components link with nothing; vectors of different lengths don't
     either. Equal vectors are linked. Rows that repeat a vec_id count each as a vector and come back each; a null vec_id has no row; extra columns are
-    ignored; an empty table gives no rows. The query compares all pairs of classes of equal vectors: work is quadratic in them but for what boxes and
+    ignored; an empty table, or one without a sound vector, gives no links. The query compares all pairs of classes of equal vectors: work is quadratic in them but for what boxes and
     bounds cut off, every task holds two tiles, and a tile pair answers with a row for each linked vector at most.
     """
-    rows = same_rows(vectors, "vec_id", "embedding").where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"))
-    sound = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
-    flat = F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast("float")).otherwise(x))
+    rows = same_rows(vectors, "vec_id", "embedding").where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    sound = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    flat = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
     rows = staged(rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), flat)), "vectors")
     valid = rows.where("v is not null")
     classes = staged(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -146,9 +147,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
         return pd.DataFrame([(pdf["tile"].iloc[0], int(pdf["d"].iloc[0]), blob("rep"), blob("copies"), b"".join(pdf["v"]), c.min(axis=0), c.max(axis=0))], columns=["t", "d", "i", "n", "v", "lo", "hi"])
 
     tiles = staged(tiles.groupBy("tile").applyInPandas(gathered, "t string, d int, i binary, n binary, v binary, lo array<double>, hi array<double>"), "tiles")
+    # unit vectors with cosine >= threshold are at most reach apart in every coordinate: tiles meet in the cells of such a grid, not all in one key
+    reach = max((2 - 2 * threshold) ** 0.5, 0.05)
+
+    def gridded(df: DataFrame, lo: str, hi: str, more: int) -> DataFrame:
+        for k in (0, 1):
+            at = lambda c, k=k: F.floor(F.coalesce(F.get(c, F.lit(k)), F.lit(0.0)) / reach)
+            df = df.withColumn(f"g{k}", F.explode(F.sequence(at(lo) - more, at(hi) + more)))
+        return df
+
     side = lambda k, *more: [F.col("t").alias(k), *(F.col(x).alias(x + k) for x in more)]
     gap = F.expr("aggregate(zip_with(zip_with(loa, hib, (p, q) -> greatest(p - q, 0D)), zip_with(lob, hia, (p, q) -> greatest(p - q, 0D)), (p, q) -> greatest(p, q)), 0D, (s, x) -> s + x * x)")
-    boxes = tiles.select("d", *side("a", "lo", "hi")).join(tiles.select("d", *side("b", "lo", "hi")), "d").where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * threshold + SLACK)).select("d", "a", "b")
+    left, right = gridded(tiles.select("d", *side("a", "lo", "hi")), "loa", "hia", 0), gridded(tiles.select("d", *side("b", "lo", "hi")), "lob", "hib", 1)
+    boxes = left.join(right, ["d", "g0", "g1"]).where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * threshold + SLACK)).select("d", "a", "b").distinct()
     boxes = staged(boxes, "boxes")
     pairs = boxes.join(tiles.select(*side("a", "v", "i", "n")), "a").join(tiles.select(*side("b", "v", "i", "n")), "b").repartition(F.xxhash64("a", "b"))
     hits = staged(pairs.mapInPandas(_tile_pair(basis, threshold), "rep long, n long, least long"), "hits")

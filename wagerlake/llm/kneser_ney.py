@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import mix, staged
 from .text_blocks import SALT, Finder, block_count, block_of, documents_of, expand, pack_keys, pack_numbers, squeeze, text_blocks, unpack_keys, unpack_numbers
 
-ORDER, SHARDS = 5, 128
+ORDER, SHARDS, MOST_CLASSES = 5, 128, 512
 #: Steps of one bit in an answer; an answer is at most 65,535 steps, or 32 bits.
 STEPS = 2048
 #: Bytes of text whose n-grams a task lists at once.
@@ -28,8 +28,8 @@ RUN = 2 << 20
 FRAGMENTS = "kind int, block int, salt int, shard int, cls int, keys binary, counts binary"
 
 
-def runs(block: pd.DataFrame, clean: Callable[[np.ndarray], np.ndarray], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, n-grams, where each document's begin) of runs of a block's documents.
+def runs(block: pd.DataFrame, clean: Callable[[np.ndarray], np.ndarray], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, n-grams, where each document's begin, their texts) of runs of a block's documents.
 
     clean maps all bytes of a run, documents apart by the byte 0, to the symbols of the model (0 stays); every symbol of a document is
     the end of one n-gram, the first ones with 0 before them.
@@ -53,7 +53,7 @@ def runs(block: pd.DataFrame, clean: Callable[[np.ndarray], np.ndarray], order:
             inside = ~zero
             marks = np.cumsum(inside)
             at = np.flatnonzero(zero)
-            yield ids[cut:to], grams[inside], marks[at]
+            yield ids[cut:to], grams[inside], marks[at], pieces
             cut = to
 
 
@@ -64,7 +64,7 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
 
 def asked(block: pd.DataFrame, clean: Callable, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places by shard, where each shard's begin, values) of a block's distinct n-grams."""
-    parts = [np.unique(g) for _, g, _ in runs(block, clean, order)]
+    parts = [np.unique(g) for _, g, *_ in runs(block, clean, order)]
     return _dealt(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), shards)
 
 
@@ -79,10 +79,10 @@ def _listed(classes: list[str], clean: Callable, order: int, shards: int):
         if not len(block):
             return pd.DataFrame(columns=["kind", "block", "salt", "shard", "cls", "keys", "counts"])
         b = int(block["block"].iloc[0])
-        teacher = teach.dropna().drop_duplicates("doc_id").set_index("doc_id")["cls"].map({c: i for i, c in enumerate(classes)})
+        teacher = teach.dropna().set_index("doc_id")["cls"].map({c: i for i, c in enumerate(classes)})
         every: list[np.ndarray] = []
         counted: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in classes]
-        for ids, grams, marks in runs(block, clean, order):
+        for ids, grams, marks, _ in runs(block, clean, order):
             every.append(np.unique(grams))
             cls = teacher.reindex(ids).fillna(-1).to_numpy(np.int64)
             of = np.repeat(cls, np.diff(marks))
@@ -157,6 +157,10 @@ class Model:
         self.discounts, self.dense = {}, []
         for c in range(len(classes)):
             part = pairs[pairs["cls"] == c].sort_values("gram")
+            if part.empty:  # its documents are not there, or have no symbols: never the best
+                self.dense.append(np.full(65536, 2.0**-40))
+                self.discounts |= {(c, k): discounts([0]) for k in range(2, order + 1)}
+                continue
             grams, n = part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.int64)
             one = np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256)
             for k in range(2, order + 1):
@@ -223,37 +227,42 @@ def _answers(model: Model):
     return one
 
 
-def _read(classes: int, clean: Callable, order: int, shards: int):
+def _read(classes: int, clean: Callable, order: int, shards: int, mark: Callable[[bytes], bool]):
     def one(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
-            return pd.DataFrame({"doc_id": [], "n": [], "bits": []})
+            return pd.DataFrame({"doc_id": [], "n": [], "bits": [], "mark": []})
         by, cuts, grams = asked(block, clean, order, shards)
         table = np.zeros((classes, len(grams)), np.uint16)
         for s, raw in zip(answers["shard"], answers["bits"], strict=True):
             planes = np.frombuffer(expand(raw), np.uint8).reshape(2, -1)
             table[:, by[cuts[s] : cuts[s + 1]]] = np.ascontiguousarray(planes.T).view(np.uint16).reshape(classes, -1)
         find, out = Finder(grams), []
-        for ids, own, marks in runs(block, clean, order):
+        for ids, own, marks, texts in runs(block, clean, order):
             at, _ = find(own)
             total = [np.diff(np.concatenate([[0], np.cumsum(row[at], dtype=np.int64)])[marks]) for row in table]
             n = np.diff(marks)
-            out.append(pd.DataFrame({"doc_id": ids, "n": n, "bits": list(np.stack(total, 1) / (STEPS * np.maximum(n, 1))[:, None]) if classes else [np.zeros(0)] * len(ids)}))
+            out.append(pd.DataFrame({"doc_id": ids, "n": n, "bits": list(np.stack(total, 1) / (STEPS * np.maximum(n, 1))[:, None]) if classes else [np.zeros(0)] * len(ids), "mark": list(map(mark, texts))}))
         return pd.concat(out)
 
     return one
 
 
-def cross_entropies(docs: DataFrame, teach: DataFrame, clean: Callable[[np.ndarray], np.ndarray], order: int = ORDER, shards: int = SHARDS, blocks: int | None = None) -> tuple[DataFrame, list[str]]:
-    """(rows doc_id, n, bits), classes: symbols of each document of docs, and bits a symbol under each class's model.
+def cross_entropies(docs: DataFrame, teach: DataFrame, clean: Callable[[np.ndarray], np.ndarray], order: int = ORDER, shards: int | None = None, blocks: int | None = None, mark: Callable[[bytes], bool] = bool) -> tuple[DataFrame, list[str]]:
+    """(rows doc_id, n, bits, mark), classes: symbols of each document of docs, bits a symbol under each class's model, and what mark says of its text.
 
     docs needs doc_id and text; teach has (doc_id, cls) of the documents that each class is learned from. bits[i] belongs to
-    classes[i]; a document without symbols has n 0 and bits 0. Rows that repeat a doc_id come back each; null ids have no row. The number of classes
-    (languages) is taken to be small: the driver holds 512 KB for each.
+    classes[i]; a document without symbols has n 0 and bits 0. Rows that repeat a doc_id come back each; null ids have no row. Of several
+    classes of one doc_id the least by name counts. The driver holds 512 KB for each class, so more than MOST_CLASSES are refused. The bits of one n-gram are
+    cut at 32, which only those reach that every order finds unlikely; shards grow with the blocks beyond 64.
     """
-    classes = sorted(r[0] for r in teach.select("cls").where("cls is not null").distinct().collect())
+    one = teach.select(F.col("doc_id").cast("long"), "cls").where("doc_id is not null and cls is not null").groupBy("doc_id").agg(F.min("cls").alias("cls"))
+    classes = sorted(r[0] for r in one.select("cls").distinct().limit(MOST_CLASSES + 1).collect())
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes to learn; the driver holds a table for each")
     blocks = blocks or block_count(docs)
+    shards = shards or min(1 << 14, SHARDS << max(0, (blocks // 64).bit_length() - 1))
     texts = text_blocks(docs, blocks)
-    here = _block_column(teach.select(F.col("doc_id").cast("long"), "cls").where("doc_id is not null and cls is not null"), blocks)
+    here = _block_column(one, blocks)
     found = texts.groupBy("block").cogroup(here.groupBy("block")).applyInPandas(_listed(classes, clean, order, shards), FRAGMENTS)
     found = staged(found, "ngrams")
     merged = found.where("kind = 1").groupBy("salt", "shard").applyInPandas(_merged, "shard int, cls int, gram long, n long")
@@ -263,7 +272,7 @@ def cross_entropies(docs: DataFrame, teach: DataFrame, clean: Callable[[np.ndarr
     sent = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else counts.withColumn("salt", F.lit(0))
     questions = found.where("kind = 0").select("salt", "shard", "block", "keys")
     answers = questions.groupBy("salt", "shard").cogroup(sent.groupBy("salt", "shard")).applyInPandas(_answers(model), "block int, shard int, bits binary")
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_read(len(classes), clean, order, shards), "doc_id long, n long, bits array<double>")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_read(len(classes), clean, order, shards, mark), "doc_id long, n long, bits array<double>, mark boolean")
     return scored, classes
 
 

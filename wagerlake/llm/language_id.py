@@ -1,11 +1,8 @@
-"""Language ID: Kneser-Ney character models, one for each language; the lowest cross-entropy a symbol wins."""
+"""Language ID: Kneser-Ney models of letters in UTF-8 bytes, one for each language; the lowest cross-entropy a symbol wins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +29,8 @@ def letters(raw: np.ndarray) -> np.ndarray:
     return s[~(space & np.concatenate([[False], (space | (s == 0))[:-1]]))]
 
 
-def _lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "lettered": [isinstance(t, str) and _LETTER.search(t) is not None for t in batch["text"]]})
+def lettered(raw: bytes) -> bool:
+    return _LETTER.search(raw.decode("utf-8", "replace")) is not None
 
 
 def fold(doc_id: Column) -> Column:
@@ -48,18 +44,17 @@ def identify(docs: DataFrame, teach: DataFrame, calibrate: DataFrame, order: int
     language's documents may be. lang_pred is the language of the least cross-entropy a symbol, of equal ones the first by name; 'und'
     with score 0, not accepted, if the text is null or has no letter, or nothing was learned. score is that language's
     share of 2^(-WEIGHT * cross-entropy) over all. Texts under SHORT symbols, and languages without calibration, are not rejected.
-    Repeated rows come back each; null ids have no row; an empty table gives no rows.
+    Repeated rows come back each, judged by their own text, also where they share a doc_id (whose least lang teaches then); null ids have no row; an empty table gives no rows.
     """
     docs = same_rows(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    scored, classes = cross_entropies(docs, teach.select("doc_id", F.col("lang").alias("cls")), letters, order)
+    scored, classes = cross_entropies(docs, teach.select("doc_id", F.col("lang").alias("cls")), letters, order, mark=lettered)
     least = F.array_min("bits")
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position("bits", least).cast("int")) if classes else F.lit(None).cast("string")
     share = 1 / F.aggregate("bits", F.lit(0.0), lambda s, b: s + F.pow(F.lit(2.0), WEIGHT * (least - b)))
-    scored = staged(scored.select("doc_id", "n", best.alias("best"), least.alias("cross_entropy"), share.alias("share")), "scores")
-    limits = scored.where(F.col("n") >= SHORT).join(calibrate.select(F.col("doc_id").cast("long"), F.col("lang").alias("best")).dropDuplicates(["doc_id"]), ["doc_id", "best"], "left_semi")
+    scored = staged(scored.select("doc_id", "n", "mark", best.alias("best"), least.alias("cross_entropy"), share.alias("share")), "scores")
+    limits = scored.where(F.col("n") >= SHORT).join(calibrate.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("lang").alias("best")), ["doc_id", "best"], "left_semi")
     limits = limits.groupBy("best").agg((F.percentile_approx("cross_entropy", quantile, 10_000) + slack).alias("limit"))
-    mute = docs.mapInPandas(_lettered, "doc_id long, lettered boolean").where("not lettered").select("doc_id").distinct()
-    known = scored.join(limits, "best", "left").join(mute.withColumn("mute", F.lit(True)), "doc_id", "left")
-    heard = F.col("mute").isNull() & F.col("best").isNotNull()
+    known = scored.join(F.broadcast(limits), "best", "left")  # a row a language at most, and cross_entropies() bounds their number
+    heard = F.col("mark") & F.col("best").isNotNull()
     high = (F.col("n") >= SHORT) & (F.col("cross_entropy") > F.col("limit"))
     return known.select("doc_id", F.when(heard, F.col("best")).otherwise("und").alias("lang_pred"), F.when(heard, F.col("share")).otherwise(0.0).alias("score"), "cross_entropy", (heard & ~F.coalesce(high, F.lit(False))).alias("accepted"))

@@ -13,7 +13,7 @@ from .common import Words, blocks, same_rows, staged
 
 #: Permitted sequence lengths in tokens, and what a sequence costs besides its tokens.
 LENGTHS, OVERHEAD = (512, 1024, 2048, 4096), 64
-#: Documents that are packed together; groups are dealt by hash, so a hot source makes none larger.
+#: Documents that are packed together; groups are dealt by hash, so nothing hot makes one larger.
 GROUP = 8192
 
 
@@ -72,13 +72,15 @@ def pack(sized: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = O
 
     A document longer than the longest sequence is cut in pieces of that length and a rest. Documents without tokens
     (null, 0 or negative) fill no bin and have no row. Repeated rows are packed each. An empty table gives no rows.
-    Groups are dealt by hash of id and size, about group documents each, and packed apart; only ids and sizes move.
+    Groups are dealt by hash of id, row and piece, about group documents each, so neither a row repeated often nor the pieces of
+    one huge document share a group, and packed apart; only ids and sizes move.
     """
     longest = max(lengths)
     sized = staged(same_rows(sized, "doc_id", "n_tokens").select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long")).where("n_tokens > 0"), "sizes")
     groups = max(1, -(-sized.count() // group))
+    sized = sized.withColumn("row", F.monotonically_increasing_id())  # of a written table, so the same if a task runs again
     pieces = sized.withColumn("piece", F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {longest}L)")))
-    pieces = pieces.select("doc_id", "piece", F.expr(f"least({longest}L, n_tokens - piece * {longest}L)").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)).alias("group"))
+    pieces = pieces.select("doc_id", "piece", F.expr(f"least({longest}L, n_tokens - piece * {longest}L)").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)).alias("group"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

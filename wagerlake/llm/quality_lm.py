@@ -33,14 +33,14 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     whose bits a byte give the language's threshold: the quantile, with slack. A document is rejected if its own language's model
     gives it more. Null lang counts as a language of its own. Kept without a verdict are documents of fewer than SHORT bytes (null and empty
     texts too) and those of languages with no trusted document to set a threshold; perplexity is null where the language has no model.
-    Repeated rows are judged each; null ids have no row; extra columns are ignored; an empty table gives no rows.
+    Repeated rows are judged each; of several languages of one doc_id the least by name counts; null ids have no row; extra columns are ignored; an empty table gives no rows.
     """
     docs = same_rows(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     sure = same_rows(trusted, "doc_id").select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    sure = staged(docs.select("doc_id", "lang").where("doc_id is not null").dropDuplicates(["doc_id"]).join(sure, "doc_id"), "trusted")
+    langs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    sure = staged(langs.join(sure, "doc_id"), "trusted")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(FOLDS))
     scored, classes = cross_entropies(docs, sure.where(fold > 0).select("doc_id", F.col("lang").alias("cls")), written, order)
-    langs = docs.select("doc_id", "lang").where("doc_id is not null").dropDuplicates(["doc_id"])
     place = F.array_position(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<string>"), F.col("lang")).cast("int")
     scored = scored.join(langs, "doc_id").select("doc_id", "lang", F.col("n").alias("n_bytes"), F.get("bits", place - 1).alias("bits"))
     scored = staged(scored, "scores")

@@ -108,7 +108,7 @@ r AS (SELECT page_id * 3 AS id, url, page_id * 60 AS ts, tag, strlen(html)::VARC
 v AS (SELECT page_id * 3 + 1 AS id, url, page_id * 60 + page_id % 11 * 40000 + 30 AS ts, CASE WHEN page_id % 5 = 0 THEN '"stale"' WHEN page_id % 5 = 1 THEN 'W/' || tag ELSE tag END AS tag FROM p4
  UNION ALL SELECT page_id * 3 + 2, url, page_id * 60 - 15, tag FROM p4),
 a AS (SELECT v.id, v.url, v.ts, v.tag, max(struct_pack(ts := r.ts, id := r.id, tag := r.tag, size := r.size, sha := r.sha)) AS r FROM v LEFT JOIN r ON r.url = v.url AND r.ts < v.ts GROUP BY ALL),
-b AS (SELECT *, CASE WHEN r.id IS NULL THEN 'no_response' WHEN regexp_replace(tag, '^W/', '') = r.tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM a)
+b AS (SELECT *, CASE WHEN r.id IS NULL THEN 'no_response' WHEN tag IS NULL THEN 'no_validator' WHEN regexp_replace(tag, '^W/', '') = r.tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM a)
 SELECT id AS record_id, url, ts, outcome, r.id AS ref_id, CASE WHEN outcome = 'resolved' THEN tag END AS etag, CASE WHEN outcome = 'resolved' THEN 'max-age=' || (((ts % 7) + 7) % 7)::VARCHAR END AS cache_control,
  CASE WHEN outcome = 'resolved' THEN 't' || ts::VARCHAR END AS date, CASE WHEN outcome = 'resolved' THEN r.size END AS content_length, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN outcome = 'resolved' THEN r.sha END AS payload_sha256 FROM b""",
     "op8_suffix_array_dedup": """

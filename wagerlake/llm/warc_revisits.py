@@ -26,45 +26,54 @@ def resolve(records: DataFrame, cell: int = CELL, permitted: tuple[str, ...] = P
     """One row for each revisit record: record_id, url, ts, outcome, ref_id, headers, payload.
 
     records: record_id, kind ('response' or 'revisit'), url, ts (seconds), headers (map, names in lower case), payload.
-    The latest response of the same canonical URL with a smaller ts is taken, of equal ones that with the largest record_id.
+    The latest response of the same canonical URL with a smaller ts is taken, of equal ones that with the largest record_id, of these the largest row
+    key (a hash of the whole record).
     outcome: 'resolved' if the revisit's ETag (weak comparison), or without one its Last-Modified, is the response's;
     'validator_mismatch' if not; 'no_validator' if the revisit has neither; 'no_response' if there is none. Only resolved rows
-    have merged headers and a payload. A null url or ts is never matched. Repeated revisits have a row each; other kinds
-    and columns are ignored; an empty table gives no rows.
+    have merged headers and a payload. A null url or ts is never matched. Repeated revisits have a row each, each with its own headers, also where
+    they share a record_id; other kinds and columns are ignored; an empty table gives no rows.
 
     A URL may hold any share of the records: its time line is cut in cells, windows run inside a cell, and between cells only each
     cell's last response is handed on.
     """
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts", "headers", "payload")
+    rows = rows.withColumn("row", F.xxhash64("record_id", "kind", "url", "ts", F.to_json("headers"), "payload"))
     h = F.col("headers")
     tag = F.regexp_replace(h["etag"], "^W/", "")
-    light = rows.where("kind in ('response', 'revisit')").select("record_id", "url", "ts", (F.col("kind") == "response").alias("full"), tag.alias("etag"), h["last-modified"].alias("modified"), F.floor(F.col("ts") / cell).alias("cell"))
+    light = rows.where("kind in ('response', 'revisit')").select("record_id", "row", "url", "ts", (F.col("kind") == "response").alias("full"), tag.alias("etag"), h["last-modified"].alias("modified"), F.floor(F.col("ts") / cell).alias("cell"))
     known = light.where("url is not null and ts is not null")
-    own = F.when(F.col("full"), F.struct(F.col("record_id").alias("id"), "etag", "modified"))
-    inside = Window.partitionBy("url", "cell").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = known.withColumn("seen", F.last(own, True).over(inside)).where("not full").select("record_id", "url", "ts", "etag", "modified", "cell", "seen")
-    last = known.where("full").groupBy("url", "cell").agg(F.max(F.struct("ts", F.col("record_id").alias("id"), "etag", "modified")).alias("r"))
+    own = F.struct(F.col("record_id").alias("id"), "row", "etag", "modified")
+    inside = Window.partitionBy("url", "cell").orderBy("ts", "full", "record_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = known.withColumn("seen", F.last(F.when(F.col("full"), own), True).over(inside)).where("not full").select("record_id", "row", "url", "ts", "etag", "modified", "cell", "seen")
+    last = known.where("full").groupBy("url", "cell").agg(F.max(F.struct("ts", F.col("record_id").alias("id"), "row", "etag", "modified")).alias("r"))
     cells = known.select("url", "cell").distinct().join(last, ["url", "cell"], "left")
     before = Window.partitionBy("url").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.select("url", "cell", F.last(F.when(F.col("r").isNotNull(), F.struct("r.id", "r.etag", "r.modified")), True).over(before).alias("carried"))
+    carried = cells.select("url", "cell", F.last(F.when(F.col("r").isNotNull(), F.struct("r.id", "r.row", "r.etag", "r.modified")), True).over(before).alias("carried"))
     met = near.join(carried, ["url", "cell"], "left").withColumn("ref", F.coalesce("seen", "carried"))
     judged = F.when(F.col("ref").isNull(), "no_response").when(F.col("etag").isNotNull(), F.when(F.col("etag") == F.col("ref.etag"), "resolved").otherwise("validator_mismatch"))
     judged = judged.when(F.col("modified").isNotNull(), F.when(F.col("modified") == F.col("ref.modified"), "resolved").otherwise("validator_mismatch")).otherwise("no_validator")
-    met = met.select("record_id", "url", "ts", judged.alias("outcome"), F.col("ref.id").alias("ref_id"))
-    unknown = light.where("not full and (url is null or ts is null)").select("record_id", "url", "ts", F.lit("no_response").alias("outcome"), F.lit(None).cast(records.schema["record_id"].dataType).alias("ref_id"))
+    met = met.select("record_id", "row", "url", "ts", judged.alias("outcome"), F.col("ref.id").alias("ref_id"), F.col("ref.row").alias("ref_row"))
+    none = F.lit(None)
+    unknown = light.where("not full and (url is null or ts is null)").select("record_id", "row", "url", "ts", F.lit("no_response").alias("outcome"), none.cast(records.schema["record_id"].dataType).alias("ref_id"), none.cast("long").alias("ref_row"))
     met = met.unionByName(unknown)
 
+    # rows with one key are equal in all that matters here, so any of them will do
     good = met.where("outcome = 'resolved'")
-    fresh = rows.where("kind = 'revisit'").select("record_id", F.map_filter("headers", lambda k, _: k.isin(*permitted)).alias("fresh")).dropDuplicates(["record_id"])
-    stored = rows.where("kind = 'response'").select(F.col("record_id").alias("ref_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["ref_id"])
+    fresh = rows.where("kind = 'revisit'").select("row", F.map_filter("headers", lambda k, _: k.isin(*permitted)).alias("fresh")).dropDuplicates(["row"])
+    stored = rows.where("kind = 'response'").select(F.col("row").alias("ref_row"), F.col("headers").alias("stored"), "payload").dropDuplicates(["ref_row"])
     merged = F.map_concat(F.map_filter("stored", lambda k, _: ~F.array_contains(F.map_keys("fresh"), k)), "fresh")
-    full = good.join(fresh, "record_id").join(stored, "ref_id").select("record_id", "url", "ts", "outcome", "ref_id", merged.alias("headers"), "payload")
-    rest = met.where("outcome <> 'resolved'").select("*", F.lit(None).cast(records.schema["headers"].dataType).alias("headers"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"))
+    merged = F.when(F.col("stored").isNull(), F.col("fresh")).otherwise(merged)
+    full = good.join(fresh, "row").join(stored, "ref_row").select("record_id", "url", "ts", "outcome", "ref_id", merged.alias("headers"), "payload")
+    rest = met.where("outcome <> 'resolved'").select("record_id", "url", "ts", "outcome", "ref_id", none.cast(records.schema["headers"].dataType).alias("headers"), none.cast(records.schema["payload"].dataType).alias("payload"))
     return full.unionByName(rest)
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """The pages table as crawl records: each page's full response, a later revisit and one that may have no response before it."""
+    """The pages table as crawl records: each page's full response, a later revisit and one that may have no response before it.
+
+    A null html has no ETag, so its records have no validator; a null url or page_id gives records that match nothing. Repeated rows give
+    their records each; extra columns are ignored; an empty table gives none.
+    """
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     minute = F.col("page_id") * 60
     date = lambda s: F.concat(F.lit("t"), s.cast("string"))
@@ -73,4 +82,4 @@ def captures(pages: DataFrame) -> DataFrame:
     none, body = F.lit(None).cast("string"), F.octet_length("html").cast("string")
     weak = F.when(F.col("page_id") % 5 == 0, F.lit('"stale"')).when(F.col("page_id") % 5 == 1, F.concat(F.lit("W/"), tag)).otherwise(tag)
     later = minute + F.col("page_id") % 11 * 40_000 + 30
-    return pages.select("url", F.inline(F.array(record(0, "response", minute, tag, body, F.col("html")), record(1, "revisit", later, weak, F.lit("0"), none), record(2, "revisit", minute - 15, tag, F.lit("0"), none))))
+    return pages.select("page_id", "url", "html").select("url", F.inline(F.array(record(0, "response", minute, tag, body, F.col("html")), record(1, "revisit", later, weak, F.lit("0"), none), record(2, "revisit", minute - 15, tag, F.lit("0"), none))))
