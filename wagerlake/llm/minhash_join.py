@@ -11,14 +11,16 @@ A comparison looks at packed sketches in numpy: set sizes, 4 bits of each token,
 differ in at least as many elements as their parities do, so the last loses no pair; it is sharp for sets up to about PARITY shingles, the
 tokens serve beyond. What the sketches leave is confirmed on full shingle sets.
 
-Before the comparison, one pass over the first nodes links each document with the node's smallest one. Large groups of copies so
-cost a row each, not a pair each.
+Two passes come before the exhaustive one, so that large groups of copies cost some rows a document, not a row a pair: the first links each
+document with the smallest one of its first nodes, the second with the nearest one of another component in each of its nodes, by sketch. What is
+linked by then needs no comparison; the exhaustive pass looks at all pairs of documents that still are in different components.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,26 +152,31 @@ def most_unlike(threshold: int) -> int:
     return math.ceil(SLOTS * p + SIGMAS * math.sqrt(SLOTS * p * (1 - p)))
 
 
-def may_link(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether sizes and sketches leave the threshold possible; x and y broadcast against each other, words in the last place.
+def may_link(x: np.ndarray, y: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and sketches leave the threshold possible, and how unlike they are; x and y, words in the first place, broadcast against each other.
 
     The smaller set must have threshold percent of the larger one, and linked sets of m and n elements differ in at
     most (m + n) * (100 - threshold) / (100 + threshold) of them.
     """
-    m, n = x[..., 0].astype(np.int64), y[..., 0].astype(np.int64)
-    apart = x ^ y
-    odd = np.bitwise_count(apart[..., 1 + SLOTS // 16 :]).sum(axis=-1, dtype=np.int64)
-    t = apart[..., 1 : 1 + SLOTS // 16]
-    t = t | (t >> np.uint64(1))
-    t = (t | (t >> np.uint64(2))) & np.uint64(0x1111111111111111)
-    unlike = np.bitwise_count(t).sum(axis=-1, dtype=np.int64)
-    return (100 * np.minimum(m, n) >= threshold * np.maximum(m, n)) & ((100 + threshold) * odd <= (100 - threshold) * (m + n)) & (unlike <= most_unlike(threshold))
+    m, n = x[0].astype(np.int64), y[0].astype(np.int64)
+    unlike = odd = 0
+    for k in range(1, WORDS):  # a word at a time keeps what is between in the cache
+        apart = x[k] ^ y[k]
+        if k <= SLOTS // 16:
+            apart |= apart >> np.uint64(1)
+            apart = (apart | (apart >> np.uint64(2))) & np.uint64(0x1111111111111111)
+            unlike = unlike + np.bitwise_count(apart).astype(np.uint16)
+        else:
+            odd = odd + np.bitwise_count(apart).astype(np.uint16)
+    odd = odd.astype(np.int64)
+    may = (100 * np.minimum(m, n) >= threshold * np.maximum(m, n)) & ((100 + threshold) * odd <= (100 - threshold) * (m + n)) & (unlike <= most_unlike(threshold))
+    return may, unlike + SLOTS * odd / np.maximum(m + n, 1)
 
 
 def _binary(column: pa.Array) -> np.ndarray:
-    """Sketches, one row of words each."""
+    """Sketches, a row for each of their words."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(-1, WORDS)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(-1, WORDS).T.copy()
 
 
 def _ruled(threshold: int):
@@ -178,14 +185,26 @@ def _ruled(threshold: int):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                good = may_link(_binary(batch.column("x")), _binary(batch.column("y")), threshold)
+                good, _ = may_link(_binary(batch.column("x")), _binary(batch.column("y")), threshold)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return judge
 
 
-def _compared(threshold: int):
-    """Rows (x, y): the documents of a node, or those of two blocks of one; pairs of different components that may be linked."""
+def _nearest(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the least unlike one of either p or q."""
+    best = []
+    for side in (p, q):
+        order = np.lexsort((apart, side))
+        best.append(order[np.concatenate([[True], side[order[1:]] != side[order[:-1]]])] if len(order) else order)
+    return np.unique(np.concatenate(best))
+
+
+def _compared(threshold: int, nearest: bool):
+    """Rows (x, y): the documents of a node, or those of two blocks of one; pairs of different components that may be linked.
+
+    nearest: of these only each document's least unlike one in the row.
+    """
 
     def parts(column: pa.Array):
         ends = np.concatenate([[0], np.cumsum([n or 0 for n in pc.list_value_length(column).to_pylist()])])
@@ -207,24 +226,36 @@ def _compared(threshold: int):
                     p, q = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                     on = comp[p] != comp[q]
                     p, q = p[on], q[on]
-                    on = may_link(words[p], words[q], threshold)
-                    found.append(np.stack([ids[p[on]], ids[q[on]]]))
+                    on, apart = may_link(words[:, p], words[:, q], threshold)
+                    p, q = p[on], q[on]
+                    if nearest:
+                        best = _nearest(p, q, apart[on])
+                        p, q = p[best], q[best]
+                    found.append(np.stack([ids[p], ids[q]]))
             for r in np.flatnonzero(~alone | (size > 32)):
                 a = slice(ends[r], ends[r + 1])
                 of = (ends, ids, comp, words) if alone[r] else other
                 b = slice(of[0][r], of[0][r + 1])
+                here = []
                 for k in range(a.start, a.stop, 64):
                     s = slice(k, min(k + 64, a.stop))
-                    on = may_link(words[s, None], of[3][None, b], threshold) & (comp[s, None] != of[2][None, b]) & (ids[s, None] != of[1][None, b])
-                    p, q = np.nonzero(on)
-                    found.append(np.stack([ids[s][p], of[1][b][q]]))
+                    on, apart = may_link(words[:, s, None], of[3][:, None, b], threshold)
+                    p, q = np.nonzero(on & (comp[s, None] != of[2][None, b]))
+                    apart = apart[p, q]
+                    if nearest:
+                        best = _nearest(p, q, apart)
+                        p, q, apart = p[best], q[best], apart[best]
+                    here.append((ids[s][p], of[1][b][q], apart))
+                p, q, apart = map(np.concatenate, zip(*here, strict=True))
+                best = _nearest(p, q, apart) if nearest else slice(None)
+                found.append(np.stack([p[best], q[best]]))
             pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return judge
 
 
-def exhaustive(rows: DataFrame, known: DataFrame, threshold: int, leaf: int) -> DataFrame:
+def compared(rows: DataFrame, known: DataFrame, threshold: int, leaf: int, nearest: bool = False) -> DataFrame:
     """Candidate pairs (a, b) within each node of rows (key, id, n); known: id, component, sketch. n documents make blocks of about leaf."""
     cells = F.ceil(F.col("n") / leaf).cast("int")
     rows = rows.select("key", cells.alias("cells"), F.pmod(F.xxhash64("id"), cells).cast("int").alias("i"), "id").join(known, "id")
@@ -234,16 +265,22 @@ def exhaustive(rows: DataFrame, known: DataFrame, threshold: int, leaf: int) ->
     left = packs.where("cells > 1").select("key", "x", "i", F.explode(F.sequence("i", F.col("cells") - 1)).alias("j"))
     right = packs.where("cells > 1").select("key", F.col("x").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), "i")).alias("i"))
     two = left.join(right, ["key", "i", "j"]).select("x", "y")
-    return one.unionByName(two).mapInArrow(_compared(threshold), "a long, b long")
+    return one.unionByName(two).mapInArrow(_compared(threshold, nearest), "a long, b long")
 
 
-def _children(rows: DataFrame, fan: float) -> DataFrame:
-    """(parent, key, id) for rows (key, id, mins): one slot or two chosen by the node's key, then the document's own token there."""
+def _children(rows: DataFrame, fan: float, *more: str) -> DataFrame:
+    """(parent, key, id and more columns) for rows (key, id, mins): one slot or two chosen by the node's key, then the document's own token there."""
     first = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SLOTS)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SLOTS - 1)), F.lit(SLOTS)).cast("int")
     both = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1000)) < round((fan - 1) * 1000)
     slots = F.when(both, F.array(first, second)).otherwise(F.array(first))
-    return rows.withColumn("slot", F.explode(slots)).select(F.col("key").alias("parent"), F.xxhash64("key", "slot", F.get("mins", F.col("slot"))).alias("key"), "id")
+    return rows.withColumn("slot", F.explode(slots)).select(F.col("key").alias("parent"), F.xxhash64("key", "slot", F.get("mins", F.col("slot"))).alias("key"), "id", *more)
+
+
+def _open(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, id, n) of the nodes (key, id) that hold more than one component; n documents each."""
+    size = nodes.join(known.select("id", "component"), "id").groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return nodes.join(size.where("lo < hi").select("key", "n"), "key").select("key", "id", "n")
 
 
 def recall(similarity: float, depth: int, trees: int = TREES, fan: float = FAN) -> float:
@@ -271,21 +308,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, fa
     reps = staged(reps, "reps")
     names, sketches, mins = reps.select("id", "doc_id", "text_key"), reps.select("id", "sketch"), reps.select("id", "mins")
 
-    roots = reps.select("id", "mins", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select("id", "mins", F.xxhash64("tree", F.lit(0)).alias("key"))
-    nodes = staged(_children(roots, fan).select("key", "id"), "nodes")
-    heads = nodes.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    def components_of(edges: DataFrame) -> DataFrame:
+        known = reps.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sketch")
+        return staged(known, "known")
+
+    roots = reps.select("id", "mins", "doc_id", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).withColumn("key", F.xxhash64("tree", F.lit(0)))
+    first = staged(_children(roots, fan, "doc_id").select("key", "id", "doc_id"), "nodes")
+    nodes = first.select("key", "id")
+    heads = first.groupBy("key").agg(F.min(F.struct("doc_id", "id"))["id"].alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     star = nodes.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
     edges = staged(confirmed(star.select("a", "b", "x", "y").mapInArrow(_ruled(threshold), "a long, b long"), names, docs, threshold), "links")
 
-    found = components(edges)
-    known = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sketch")
-    known = staged(known, "known")
-    label, done = known.select("id", "component"), []
+    known, done = components_of(edges), []
     while True:
-        rows = nodes.join(label, "id")
-        size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-        rows = staged(nodes.join(size, "key"), "open")
+        rows = staged(_open(nodes, known), "open")
         done.append(rows.where(F.col("n") <= leaf))
         large = rows.where(F.col("n") > leaf)
         if large.isEmpty():
@@ -296,10 +333,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, trees: int = TREES, fa
         stuck = staged(stuck, "stuck")
         done.append(large.join(stuck, "key", "left_semi"))
         nodes = staged(kids.join(stuck.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "id"), "nodes")
-    rows = done[0]
-    for more in done[1:]:
-        rows = rows.unionByName(more)
-    edges = edges.unionByName(confirmed(exhaustive(rows, known, threshold, leaf), names, docs, threshold))
+    rows = reduce(DataFrame.unionByName, done)
+    near = confirmed(compared(rows, known, threshold, leaf, nearest=True), names, docs, threshold)
+    edges = staged(edges.unionByName(near), "links")
+    known = components_of(edges)
+    edges = edges.unionByName(confirmed(compared(_open(rows.select("key", "id"), known), known, threshold, leaf), names, docs, threshold))
 
     final = names.select("id", "doc_id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("group_id"))
     final = staged(final, "components")
