@@ -22,7 +22,7 @@ def con():
 
 
 def text(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "~"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))

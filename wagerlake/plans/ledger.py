@@ -212,12 +212,16 @@ def order_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return trades(spark, d).groupBy("wallet").agg(F.count("*").alias("total"), F.count_if(block & log).alias("full_order"), F.count_if(block & ~log).alias("block_only"), F.count_if(~block).alias("none"))
 
 
-@query("L25_reconcile", "SELECT a.wallet, count(*) AS api, count(b.k) AS matched, count(b.k) / count(*) AS rate FROM v_trades a LEFT JOIN (SELECT k, shares FROM v_trades WHERE cents % 5 <> 0) b ON a.k = b.k AND abs(a.shares - b.shares) < 0.01 GROUP BY a.wallet")
+@query("L25_reconcile", "SELECT wallet, count(*) AS api, count(*) FILTER (met) AS matched, count(*) FILTER (met) / count(*) AS rate FROM (SELECT wallet, EXISTS (SELECT 1 FROM v_trades b WHERE b.cents % 5 <> 0 AND b.k = a.k AND abs(a.shares - b.shares) < 0.01) AS met FROM v_trades a) GROUP BY wallet")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """API rows with a chain fill of the same key and, to 0.01, the same shares; a row counts once, however many fills it meets."""
     t = trades(spark, d)
-    chain = t.where("cents % 5 <> 0").select("k", c("shares").alias("chain_shares"))
-    met = t.join(chain, "k", "left").withColumn("ok", F.coalesce(F.abs(c("shares") - c("chain_shares")) < 0.01, F.lit(False)))
-    return met.groupBy("wallet").agg(F.count("*").alias("api"), F.count_if("ok").alias("matched"), (F.count_if("ok") / F.count("*")).alias("rate"))
+    chain = t.where("cents % 5 <> 0").groupBy("k", c("shares").alias("chain_shares")).agg(F.lit(True).alias("there"))
+    near = t.join(chain, "k", "left").withColumn("ok", F.coalesce(c("there") & (F.abs(c("shares") - c("chain_shares")) < 0.01), F.lit(False)))
+    # rows of one key and number of shares meet the same fills, so how many there are is taken from the API side alone
+    per = near.groupBy("k", "wallet", "shares").agg(F.max("ok").alias("ok")).join(t.groupBy("k", "wallet", "shares").agg(F.count("*").alias("n")), ["k", "wallet", "shares"])
+    api, matched = F.sum("n"), F.coalesce(F.sum(F.when(c("ok"), c("n"))), F.lit(0))
+    return per.groupBy("wallet").agg(api.alias("api"), matched.alias("matched"), (matched / api).alias("rate"))
 
 
 @query("L23_identity_rank", "SELECT wallet, arg_max(condition, struct_pack(n := n, c := -condition)) AS best, max(n) AS n, coalesce(list_sort(list(n), 'DESC')[2] >= 0.8::DOUBLE * max(n), false) AS ambiguous FROM (SELECT wallet, condition, count(*) AS n FROM v_trades GROUP BY ALL) GROUP BY wallet")

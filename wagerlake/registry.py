@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wagerlake.sources.carriers import VIEWS
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("pricing", "ledger", "performance", "feed", "clv", "matching", "audits", "streams")
+PLANS = ("pricing", "ledger", "performance", "feed", "clv", "matching", "audits", "streams", "exchange")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

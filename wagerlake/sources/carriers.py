@@ -19,6 +19,9 @@ VIEWS = {
  FROM (SELECT wallet, condition, sum(CASE WHEN side = 'BUY' THEN cash ELSE 0 END)::BIGINT AS bought FROM v_trades GROUP BY ALL) JOIN (SELECT p_partkey AS condition, p_type AS category FROM part) USING (condition)""",
     "v_feed": """SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'kalshi' ELSE 'polymarket' END AS venue, user_id AS wallet, (epoch_us(ts) // 1000000)::BIGINT AS ts, (value * 100)::BIGINT * 10 AS stake_cents,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id * 31 % 200 - 60) / 10.0::DOUBLE END AS ev, strftime(ts, '%Y-%m-%d') AS day FROM events""",
+    "v_games": """SELECT p_partkey AS market, CASE WHEN p_partkey % 2 = 0 THEN 'polymarket' ELSE 'kalshi' END AS source, CASE WHEN p_partkey % 7 > 0 THEN (p_partkey * 13 % 90 + 3) / 100.0::DOUBLE END AS kb, (p_partkey * 13 % 90 + 4 + p_size % 8) / 100.0::DOUBLE AS ka, p_partkey * 11 % 90 AS kg,
+ (p_partkey * 17 % 90 + 3) / 100.0::DOUBLE AS pb, CASE WHEN p_partkey % 13 > 0 THEN (p_partkey * 17 % 90 + 4 + p_size % 7) / 100.0::DOUBLE END AS pa, CASE WHEN p_partkey % 17 > 0 THEN p_partkey * 19 % 80 END AS pg, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 29 % 97 + 1) / 100.0::DOUBLE END AS mb,
+ CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 29 % 97 + 4) / 100.0::DOUBLE END AS ma, p_partkey * 23 % 70 AS mg, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 200 - 100 END AS starts_in, p_partkey % 5 - 2 AS days_off, CASE WHEN p_partkey % 10 > 0 THEN (p_partkey * 7 % 100) / 100.0::DOUBLE END AS paid FROM part""",
 }
 
 
@@ -56,6 +59,16 @@ def resolution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(key.alias("condition"), (key % 3 != 0).alias("final"), (key * 2 + F.col("p_size") % 2).alias("winning_asset"), (F.lit(788918400) + key % 500 * 86400).alias("resolved_at"))
 
 
+def games(spark: SparkSession, d: str) -> DataFrame:
+    """Markets with the books of three venues (bid, ask, age of the quote), when they start, and a price paid."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select(
+        k.alias("market"), F.when(k % 2 == 0, "polymarket").otherwise("kalshi").alias("source"), F.when(k % 7 > 0, cents(k * 13 % 90 + 3)).alias("kb"), cents(k * 13 % 90 + 4 + size % 8).alias("ka"), (k * 11 % 90).alias("kg"),
+        cents(k * 17 % 90 + 3).alias("pb"), F.when(k % 13 > 0, cents(k * 17 % 90 + 4 + size % 7)).alias("pa"), F.when(k % 17 > 0, k * 19 % 80).alias("pg"), F.when(k % 5 == 0, cents(k * 29 % 97 + 1)).alias("mb"),
+        F.when(k % 5 == 0, cents(k * 29 % 97 + 4)).alias("ma"), (k * 23 % 70).alias("mg"), F.when(k % 3 > 0, k % 200 - 100).alias("starts_in"), (k % 5 - 2).alias("days_off"), F.when(k % 10 > 0, cents(k * 7 % 100)).alias("paid"),
+    )
+
+
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("token"), seconds(F.col("ts")).alias("t"), F.col("event_id").alias("k"), cents((F.col("event_id") * 29) % 97 + 2).alias("p"))
 
