@@ -92,13 +92,6 @@ def field_merge(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("k").agg(F.coalesce(F.max("old"), F.max("new")).alias("cents"))
 
 
-@query("P20_ephemeral", "SELECT id, regexp_matches(title, 'btc[- ]?up[- ]?down|bitcoin up or down|eth[- ]?up[- ]?down|updown[-_]?[0-9]+m') AS ephemeral FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'btc up-down' WHEN 1 THEN 'updown-15m' WHEN 2 THEN 'election' ELSE '' END AS title FROM v_feed)")
-def ephemeral(spark: SparkSession, d: str) -> DataFrame:
-    k = c("id") % 4
-    title = F.when(k == 0, "btc up-down").when(k == 1, "updown-15m").when(k == 2, "election").otherwise("")
-    return feed(spark, d).select("id", title.rlike("btc[- ]?up[- ]?down|bitcoin up or down|eth[- ]?up[- ]?down|updown[-_]?[0-9]+m").alias("ephemeral"))
-
-
 @query("P25_P35_placeholder", "SELECT id, ev IS NULL OR id % 5 = 0 OR id % 100 / 100.0::DOUBLE < 0.35::DOUBLE OR (abs(ev) <= 0.000001 AND id % 100 / 100.0::DOUBLE < 0.5::DOUBLE) AS placeholder FROM v_feed")
 def placeholder(spark: SparkSession, d: str) -> DataFrame:
     score = c("id") % 100 / F.lit(100.0)
@@ -124,7 +117,10 @@ def json_prices(spark: SparkSession, d: str) -> DataFrame:
     return feed(spark, d).select("id", F.transform(F.from_json(raw, "array<string>"), lambda x: x.cast("double")).alias("prices"))
 
 
-@query("F19_F18_wallet_hash", None)
+_FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(lower('0xW' || wallet), ''), lambda x: ascii(x)::HUGEINT)), lambda s, x: xor(s, x) * 16777619 % 4294967296)"
+
+
+@query("F19_F18_wallet_hash", f"SELECT wallet, hash, hash % 40 AS first, hash // 40 % 40 AS second FROM (SELECT wallet, ({_FNV})::BIGINT AS hash FROM (SELECT DISTINCT wallet FROM v_feed))")
 def wallet_hash(spark: SparkSession, d: str) -> DataFrame:
     """FNV-1a of 32 bits over the lower-cased wallet, folded in Catalyst, and the two list places that it picks for a pseudonym."""
     text = F.lower(F.concat(F.lit("0xW"), "wallet"))

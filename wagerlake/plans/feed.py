@@ -139,14 +139,21 @@ def latest(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.withColumn("r", F.row_number().over(Window.partitionBy("venue").orderBy(*order))).where(c("r") <= n)
 
 
-@query("K02_reserved_slots", """WITH x AS (SELECT id, venue, row_number() OVER (PARTITION BY venue ORDER BY ts DESC, id DESC) AS r, count(*) OVER (PARTITION BY venue) AS n FROM v_feed),
-y AS (SELECT *, CASE WHEN venue = 'kalshi' THEN 3 * r ELSE r + (r - 1) // 2 END AS slot FROM x WHERE r <= CASE WHEN venue = 'kalshi' THEN 20 ELSE 30 END)
-SELECT id, venue, row_number() OVER (ORDER BY slot, venue DESC, r) AS pos FROM y""")
+@query("K02_reserved_slots", """WITH x AS (SELECT id, venue, row_number() OVER (PARTITION BY venue ORDER BY ts DESC, id DESC) AS r FROM v_feed), n AS (SELECT least(count(*) FILTER (venue = 'kalshi'), 20) AS k, least(count(*) FILTER (venue <> 'kalshi'), 30) AS p FROM v_feed),
+y AS (SELECT id, venue, r FROM x, n WHERE r <= CASE WHEN venue = 'kalshi' THEN 20 + 30 - p ELSE 30 + 20 - k END), m AS (SELECT count(*) FILTER (venue = 'kalshi') AS k, count(*) FILTER (venue <> 'kalshi') AS p FROM y),
+z AS (SELECT id, venue, r, CASE WHEN venue = 'kalshi' THEN CASE WHEN 2 * r <= p THEN 3 * r ELSE p + r END ELSE CASE WHEN (r - 1) // 2 <= k THEN r + (r - 1) // 2 ELSE k + r END END AS slot FROM y, m)
+SELECT id, venue, row_number() OVER (ORDER BY slot, venue DESC, r) AS pos FROM z QUALIFY pos <= 50""")
 def reserved_slots(spark: SparkSession, d: str) -> DataFrame:
-    """30 and 20 of two venues, interleaved two to one: the k-th of the second venue stands at 3k, the first fills the rest."""
-    top = latest(feed(spark, d), PM_SLOTS, F.desc("ts"), F.desc("id")).where((c("venue") != "kalshi") | (c("r") <= KALSHI_SLOTS))
-    slot = F.when(c("venue") == "kalshi", 3 * c("r")).otherwise(c("r") + F.floor((c("r") - 1) / 2))
-    return top.withColumn("slot", slot).select("id", "venue", F.row_number().over(Window.orderBy("slot", F.desc("venue"), "r")).cast("long").alias("pos"))
+    """30 and 20 of two venues, what one lacks going to the other, interleaved two to one: the k-th of the second venue stands at 3k as long as both have rows."""
+    top = latest(feed(spark, d), FEED, F.desc("ts"), F.desc("id"))
+    is_k = c("venue") == "kalshi"
+    have = top.agg(F.least(F.count_if(is_k), F.lit(KALSHI_SLOTS)).alias("k"), F.least(F.count_if(~is_k), F.lit(PM_SLOTS)).alias("p"))
+    taken = top.crossJoin(have).where(c("r") <= F.when(is_k, FEED - c("p")).otherwise(FEED - c("k"))).select("id", "venue", "r")  # at most 100 rows and one
+    n = taken.agg(F.count_if(is_k).alias("k"), F.count_if(~is_k).alias("p"))
+    before = F.floor((c("r") - 1) / 2)
+    slot = F.when(is_k, F.when(2 * c("r") <= c("p"), 3 * c("r")).otherwise(c("p") + c("r"))).otherwise(F.when(before <= c("k"), c("r") + before).otherwise(c("k") + c("r")))
+    pos = F.row_number().over(Window.orderBy("slot", F.desc("venue"), "r")).cast("long")
+    return taken.crossJoin(n).withColumn("slot", slot).select("id", "venue", pos.alias("pos")).where(c("pos") <= FEED)
 
 
 @query("K03_C13_recent_trades", """WITH x AS (SELECT id, venue, ts, row_number() OVER (PARTITION BY venue ORDER BY ts DESC, id DESC) AS r FROM v_feed), n AS (SELECT least(count(*) FILTER (venue = 'kalshi'), 20) AS fl, count(*) FILTER (venue <> 'kalshi') AS pm FROM v_feed)
@@ -191,9 +198,17 @@ def trending(spark: SparkSession, d: str, now: int = 1704067200 + 87000, window:
 
 
 @query("A48_gate_ring", "SELECT id, sum(CASE WHEN ev >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY venue ORDER BY ts, id ROWS 999 PRECEDING)::BIGINT AS passed FROM v_feed")
-def gate_ring(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("venue").orderBy("ts", "id").rowsBetween(-999, 0)
-    return feed(spark, d).select("id", F.sum(F.when(c("ev") >= EV, 1).otherwise(0)).over(w).alias("passed"))
+def gate_ring(spark: SparkSession, d: str, ring: int = 1000, cell: int = 3600) -> DataFrame:
+    """How many of the last ring trades of a venue passed. No task sorts a venue: places are counted inside hours, hours are summed up over their
+    table alone, and the window runs in blocks of ring places, each with the block before."""
+    t = feed(spark, d).select("id", "venue", "ts", F.when(c("ev") >= EV, 1).otherwise(0).alias("ok"), F.floor(c("ts") / cell).alias("hour"))
+    hours = t.groupBy("venue", "hour").agg(F.count("*").alias("n"))
+    start = hours.withColumn("before", F.sum("n").over(Window.partitionBy("venue").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))).select("venue", "hour", F.coalesce("before", F.lit(0)).alias("before"))
+    placed = t.withColumn("r", F.row_number().over(Window.partitionBy("venue", "hour").orderBy("ts", "id"))).join(start, ["venue", "hour"]).select("id", "venue", "ok", (c("before") + c("r") - 1).alias("place"))
+    own = F.floor(c("place") / ring)
+    both = placed.withColumn("block", F.explode(F.array(own, own + 1))).withColumn("own", c("block") == own)
+    w = Window.partitionBy("venue", "block").orderBy("place").rowsBetween(1 - ring, 0)
+    return both.select("id", "own", F.sum("ok").over(w).alias("passed")).where("own").select("id", "passed")
 
 
 @query("F14_day_key", "SELECT id, day FROM v_feed")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wagerlake.registry import query
-from wagerlake.sources.carriers import resolution, trades, unit_events
+from wagerlake.sources.carriers import chain_events, resolution, trades, unit_events
 
 c = F.col
 _STATE = "struct<shares:bigint,outlay:double,most:double,buy:bigint,sell:bigint,redeem:bigint>"
@@ -157,11 +157,17 @@ def validity(spark: SparkSession, d: str) -> DataFrame:
 _ID = "'chain|137|' || split_part(k, '|', 1) || '|' || split_part(k, '|', 2)"
 
 
-@query("L14_collapse_identity", f"SELECT identity, max(ts) AS ts, count(*) AS rows, arg_max(k, struct_pack(t := ts, k := k)) AS kept FROM (SELECT {_ID} AS identity, ts, k FROM v_trades) GROUP BY identity")
+@query("L14_collapse_identity", """SELECT 'chain|137|' || t || '|' || log_index AS identity, n AS rows, coalesce(timed, first) AS kept, conflict FROM (SELECT lower(trim(tx)) AS t, log_index, count(*) AS n, min(raw_id) AS first, min(raw_id) FILTER (ts > 0) AS timed,
+ min(upper(raw_type)) <> max(upper(raw_type)) OR min(shares) <> max(shares) OR min(cash) <> max(cash) OR count(DISTINCT ts) FILTER (ts > 0) > 1 AS conflict FROM v_chain WHERE source = 'polygon' AND trim(coalesce(tx, '')) <> '' AND block > 0 AND log_index IS NOT NULL GROUP BY ALL)""")
 def collapse_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of one physical log entry become one: the latest, with the largest key of equal ones."""
-    t = trades(spark, d).select(chain_identity().alias("identity"), "ts", "k")
-    return t.groupBy("identity").agg(F.max("ts").alias("ts"), F.count("*").alias("rows"), F.max_by("k", F.struct("ts", "k")).alias("kept"))
+    """Rows of one physical log entry become one: the first with a time, or else the first; conflict tells that the rows differ in what they say."""
+    e = chain_events(spark, d).where("source = 'polygon' and trim(coalesce(tx, '')) <> '' and block > 0 and log_index is not null")
+    timed = F.when(c("ts") > 0, c("raw_id"))
+    apart = lambda x: F.min(x) != F.max(x)
+    time = F.when(c("ts") > 0, c("ts"))
+    conflict = apart(F.upper("raw_type")) | apart(c("shares")) | apart(c("cash")) | F.coalesce(apart(time), F.lit(False))
+    per = e.groupBy(F.lower(F.trim("tx")).alias("t"), "log_index").agg(F.count("*").alias("rows"), F.coalesce(F.min(timed), F.min("raw_id")).alias("kept"), conflict.alias("conflict"))
+    return per.select(F.concat_ws("|", F.lit("chain"), F.lit("137"), "t", c("log_index").cast("string")).alias("identity"), "rows", "kept", "conflict")
 
 
 def chain_identity() -> Column:

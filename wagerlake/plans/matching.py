@@ -82,7 +82,7 @@ def pairs(spark: SparkSession, d: str, least: float) -> DataFrame:
     return pairs_of(table(spark, d, "embeddings"), least)
 
 
-_PAIRS = "SELECT x.vec_id AS a, y.vec_id AS b, floor(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 10000 + 0.5) / 10000.0::DOUBLE AS score FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id % 2 = 0 AND y.vec_id % 2 = 1 WHERE x.vec_id < 500 AND y.vec_id < 500"
+_PAIRS = "SELECT x.vec_id AS a, y.vec_id AS b, floor(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) * 10000 + 0.5) / 10000.0::DOUBLE AS score FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id % 2 = 0 AND y.vec_id % 2 = 1"
 
 
 @query("M06_J05_P26_scored_pairs", f"SELECT * FROM ({_PAIRS}) WHERE score >= 0.3")
@@ -191,21 +191,22 @@ def merge_groups(spark: SparkSession, d: str) -> DataFrame:
 _TOK = "SELECT p_partkey AS market, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part"
 
 
-@query("F22_J21_similar_markets", f"""SELECT market, other, score FROM (SELECT x.market, y.market AS other, floor(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) * 10000 + 0.5) / 10000.0::DOUBLE AS score, row_number() OVER (PARTITION BY x.market ORDER BY floor(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) * 10000 + 0.5) DESC, y.market) AS r
- FROM ({_TOK}) x JOIN ({_TOK}) y ON x.market % 50 = 0 AND x.market <> y.market AND len(list_intersect(x.t, y.t)) > 0) WHERE r <= 3 AND score >= 0.12""")
-def similar_markets(spark: SparkSession, d: str, least: float = 0.12, top: int = 3) -> DataFrame:
-    """Three nearest markets by Jaccard of title tokens, for the asked ones (every fiftieth). Markets with equal token sets are one
+@query("F22_J21_similar_markets", f"""WITH u AS (SELECT market, len(t) AS n, unnest(t) AS w FROM ({_TOK})), m AS (SELECT x.market, y.market AS other, count(*) AS k, any_value(x.n) AS nx, any_value(y.n) AS ny FROM u x JOIN u y ON x.w = y.w AND x.market <> y.market GROUP BY 1, 2)
+SELECT market, other, score FROM (SELECT market, other, floor(k / (nx + ny - k) * 10000 + 0.5) / 10000.0::DOUBLE AS score, row_number() OVER (PARTITION BY market ORDER BY floor(k / (nx + ny - k) * 10000 + 0.5) DESC, other) AS r FROM m) WHERE r <= 3 AND score >= 0.12""")
+def similar_markets(spark: SparkSession, d: str, least: float = 0.12, top: int = 3, asked: Column | None = None) -> DataFrame:
+    """The nearest markets by Jaccard of title tokens, of all markets or those that asked says. Markets with equal token sets are one
     side of the comparison, so the join on tokens meets distinct titles, not markets."""
     tok = table(spark, d, "part").select(c("p_partkey").alias("market"), F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("t"))
-    titles = tok.groupBy("t").agg(F.sort_array(F.collect_set("market")).alias("all")).select("t", F.slice("all", 1, top + 1).alias("first"))
-    asked = tok.where("market % 50 = 0").select("t").distinct()
-    inverted = lambda df, k: df.select(c("t").alias(k), F.explode("t").alias("w"))
-    met = inverted(asked, "x").join(inverted(titles, "y"), "w").groupBy("x", "y").agg(F.count("*").alias("both"))
+    first = tok.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("market"))).where(c("r") <= top + 1)
+    mine = tok if asked is None else tok.where(asked)
+    inverted = lambda df, k: df.select("t").distinct().select(c("t").alias(k), F.explode("t").alias("w"))
+    met = inverted(mine, "x").join(inverted(tok, "y"), "w").groupBy("x", "y").agg(F.count("*").alias("both"))
     score = F.floor(c("both") / (F.size("x") + F.size("y") - c("both")) * 10_000 + 0.5) / F.lit(10_000.0)
-    near = met.select("x", "y", score.alias("score")).where(c("score") >= least).join(titles.withColumnRenamed("t", "y"), "y")
-    each = tok.where("market % 50 = 0").withColumnRenamed("t", "x").join(near, "x").select("market", "score", F.explode("first").alias("other")).where("market <> other")
-    r = F.row_number().over(Window.partitionBy("market").orderBy(F.desc("score"), "other"))
-    return each.withColumn("r", r).where(c("r") <= top).select("market", "other", "score")
+    near = met.select("x", "y", score.alias("score")).where(c("score") >= least)
+    each = near.join(first.select(c("t").alias("y"), c("market").alias("other")), "y")
+    best = each.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "other"))).where(c("r") <= top + 1).select("x", "score", "other")
+    out = mine.withColumnRenamed("t", "x").join(best, "x").where("market <> other")
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("score"), "other"))).where(c("r") <= top).select("market", "other", "score")
 
 
 @query("M05_token_adjustment", "SELECT p_partkey AS market, least(1, greatest((p_size % 50) / 50.0::DOUBLE + CASE WHEN p_name LIKE '%ring%' THEN 0.15::DOUBLE ELSE 0 END, CASE WHEN p_name LIKE '%ring%' THEN 0.75::DOUBLE ELSE 0 END)) AS adjusted FROM part")

@@ -134,8 +134,14 @@ def pearson(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A38_spearman", "SELECT category, floor(corr(a, b) * 1000000 + 0.5) / 1000000.0::DOUBLE AS r FROM (SELECT category, row_number() OVER (PARTITION BY category ORDER BY realized, wallet, condition) AS a, row_number() OVER (PARTITION BY category ORDER BY bought, wallet, condition) AS b FROM v_positions) GROUP BY category")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    rank = lambda x: F.row_number().over(Window.partitionBy("category").orderBy(x, "wallet", "condition"))
-    ranked = positions(spark, d).select("category", rank("realized").alias("a"), rank("bought").alias("b"))
+    """Rank correlation within a category. Ranks are counted inside cells of values and shifted by what the cells below hold, so no task sorts a category."""
+    ranked = positions(spark, d).select("category", "wallet", "condition", "realized", "bought")
+    for x, to, width in (("realized", "a", 256), ("bought", "b", 256)):
+        ranked = ranked.withColumn("cell", F.floor(c(x) / width))
+        cells = ranked.groupBy("category", "cell").agg(F.count("*").alias("n"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy("category").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inside = F.row_number().over(Window.partitionBy("category", "cell").orderBy(x, "wallet", "condition"))
+        ranked = ranked.withColumn("inside", inside).join(cells.select("category", "cell", below.alias("below")), ["category", "cell"]).withColumn(to, c("below") + c("inside")).drop("cell", "inside", "below")
     return ranked.groupBy("category").agg((F.floor(F.corr("a", "b") * 1_000_000 + 0.5) / F.lit(1_000_000.0)).alias("r"))
 
 

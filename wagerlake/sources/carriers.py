@@ -19,6 +19,9 @@ VIEWS = {
  FROM (SELECT wallet, condition, sum(CASE WHEN side = 'BUY' THEN cash ELSE 0 END)::BIGINT AS bought FROM v_trades GROUP BY ALL) JOIN (SELECT p_partkey AS condition, p_type AS category FROM part) USING (condition)""",
     "v_feed": """SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'kalshi' ELSE 'polymarket' END AS venue, user_id AS wallet, (epoch_us(ts) // 1000000)::BIGINT AS ts, (value * 100)::BIGINT * 10 AS stake_cents,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id * 31 % 200 - 60) / 10.0::DOUBLE END AS ev, strftime(ts, '%Y-%m-%d') AS day FROM events""",
+    "v_chain": """SELECT event_id AS raw_id, user_id AS wallet, CASE event_id % 6 WHEN 0 THEN 'redeem' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'Split' WHEN 3 THEN 'reward' ELSE 'TRADE' END AS raw_type, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, event_id % 40 AS condition, event_id % 80 + 1 AS asset,
+ (event_id * 7 % 50)::BIGINT AS shares, (event_id * 13 % 97 + 1) / 100.0::DOUBLE AS price, (event_id * 7 % 50)::BIGINT * 3 AS cash, CASE WHEN event_id % 19 > 0 THEN (epoch_us(ts) // 1000000)::BIGINT // 3600 * 3600 END AS ts, CASE WHEN event_id % 9 > 0 THEN (CASE WHEN event_id % 2 = 0 THEN '0xAB' ELSE '0xab' END) || (event_id // 2 % 300) END AS tx,
+ CASE WHEN event_id % 8 > 0 THEN event_id // 2 % 1000 END AS block, CASE WHEN event_id // 2 % 300 % 4 > 0 AND event_id % 3 > 0 THEN event_id % 50 END AS log_index, CASE WHEN event_id % 5 = 0 THEN 'activity' ELSE 'polygon' END AS source FROM events""",
     "v_games": """SELECT p_partkey AS market, CASE WHEN p_partkey % 2 = 0 THEN 'polymarket' ELSE 'kalshi' END AS source, CASE WHEN p_partkey % 7 > 0 THEN (p_partkey * 13 % 90 + 3) / 100.0::DOUBLE END AS kb, (p_partkey * 13 % 90 + 4 + p_size % 8) / 100.0::DOUBLE AS ka, p_partkey * 11 % 90 AS kg,
  (p_partkey * 17 % 90 + 3) / 100.0::DOUBLE AS pb, CASE WHEN p_partkey % 13 > 0 THEN (p_partkey * 17 % 90 + 4 + p_size % 7) / 100.0::DOUBLE END AS pa, CASE WHEN p_partkey % 17 > 0 THEN p_partkey * 19 % 80 END AS pg, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 29 % 97 + 1) / 100.0::DOUBLE END AS mb,
  CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 29 % 97 + 4) / 100.0::DOUBLE END AS ma, p_partkey * 23 % 70 AS mg, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 200 - 100 END AS starts_in, p_partkey % 5 - 2 AS days_off, CASE WHEN p_partkey % 10 > 0 THEN (p_partkey * 7 % 100) / 100.0::DOUBLE END AS paid FROM part""",
@@ -69,6 +72,17 @@ def games(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def chain_events(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of several sources as they come: types in any case, hashes in any case or missing, blocks and log indexes with gaps."""
+    i, whole = F.col("event_id"), lambda n: F.floor(F.col("event_id") / n).cast("long")
+    return table(spark, d, "events").select(
+        i.alias("raw_id"), F.col("user_id").alias("wallet"), F.when(i % 6 == 0, "redeem").when(i % 6 == 1, "MERGE").when(i % 6 == 2, "Split").when(i % 6 == 3, "reward").otherwise("TRADE").alias("raw_type"),
+        F.when(i % 11 == 0, None).when(i % 2 == 0, "BUY").otherwise("SELL").alias("side"), (i % 40).alias("condition"), (i % 80 + 1).alias("asset"), (i * 7 % 50).cast("long").alias("shares"), cents(i * 13 % 97 + 1).alias("price"), (i * 7 % 50 * 3).cast("long").alias("cash"),
+        F.when(i % 19 > 0, F.floor(seconds(F.col("ts")) / 3600).cast("long") * 3600).alias("ts"), F.when(i % 9 > 0, F.concat(F.when(i % 2 == 0, "0xAB").otherwise("0xab"), (whole(2) % 300).cast("string"))).alias("tx"),
+        F.when(i % 8 > 0, whole(2) % 1000).alias("block"), F.when((whole(2) % 300 % 4 > 0) & (i % 3 > 0), i % 50).alias("log_index"), F.when(i % 5 == 0, "activity").otherwise("polygon").alias("source"),
+    )
+
+
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("token"), seconds(F.col("ts")).alias("t"), F.col("event_id").alias("k"), cents((F.col("event_id") * 29) % 97 + 2).alias("p"))
 

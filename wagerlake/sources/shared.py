@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none, as in tests."""
+    """spark.checkpoint.dir, or wagerlake.shared.dir where a session has none; a folder of one machine serves on one machine only."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("wagerlake.shared.dir", "")
+    if not top and spark.sparkContext.master.startswith("local"):
+        top = f"{spark.conf.get('spark.sql.warehouse.dir')}/wagerlake-shared"
     if not top:
-        top = tempfile.mkdtemp(prefix="wagerlake-")
-        spark.conf.set("wagerlake.shared.dir", top)
+        raise ValueError("set spark.checkpoint.dir (or wagerlake.shared.dir) to a folder that all executors share")
     return top.rstrip("/")
 
 
