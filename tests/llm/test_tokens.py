@@ -63,6 +63,14 @@ def test_bpe_holds_a_bounded_number_of_tokens(monkeypatch):
     assert digest == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256("".join(coder.decode(ids)).encode()).hexdigest())
 
 
+def test_bpe_splits_alike_in_small_windows(monkeypatch):
+    coder = bpe_stream.loaded(P.path("word_bpe_49k.json"))
+    texts = [t for t in odd_texts() if t] + ["a\x1cb c\x1dd  \x1f e" * 9]
+    want = [list(coder.encode(t)) for t in texts]
+    monkeypatch.setattr(bpe_stream, "WINDOW", 5)
+    assert [list(coder.encode(t)) for t in texts] == want
+
+
 def test_bpe_window_is_bounded():
     coder = bpe_stream.loaded(P.path("word_bpe_49k.json"))
     seen = []

@@ -27,8 +27,8 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct words whose ids a worker remembers before it starts anew.
 MEMORY = 600_000
 NEVER = 1 << 60
-#: Tokens that are held at once.
-RUN = 4096
+#: Tokens that are held at once, and characters that are split at once.
+RUN, WINDOW = 4096, 1 << 16
 _loaded: dict[str, BytePairs] = {}
 
 
@@ -54,7 +54,7 @@ class BytePairs:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]"))
-        self.pieces = regex.compile(f"[^{WHITE}]+")
+        self.pieces, self.white, self.separators = regex.compile(f"[^{WHITE}]+"), regex.compile(f"[{WHITE}]"), regex.compile("[\x1c-\x1f]")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.joint = "" if spec.get("decoder") else " "
         self.letters = byte_letters()
@@ -134,6 +134,16 @@ class BytePairs:
             at = m.end()
         yield text[at:] if at else text, False
 
+    def split(self, part: str) -> Iterator[str]:
+        """Runs of other than white space, some WINDOW characters at a time. str.split parts at U+001C to U+001F too, so it serves where there are none."""
+        at = 0
+        while at < len(part):
+            end = at + WINDOW
+            gap = self.white.search(part, end) if end < len(part) else None
+            some = part[at : gap.start() if gap else len(part)]
+            yield from self.pieces.findall(some) if self.separators.search(some) else some.split()
+            at += len(some)
+
     def encode(self, text: str) -> Iterator[int]:
         """Ids of text, word by word; a special token's own string is that token. White space parts words, so each is normalised by itself."""
         known = self.known
@@ -141,8 +151,7 @@ class BytePairs:
             if special:
                 yield self.special[part]
                 continue
-            for m in self.pieces.finditer(part):
-                piece = m[0]
+            for piece in self.split(part):
                 if (ids := known.get(piece)) is None:
                     if len(piece) > 64:
                         for w in self.words.finditer(self.normal(piece)):
