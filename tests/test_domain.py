@@ -179,3 +179,32 @@ def test_bootstrap_draws_a_thousand_resamples(spark, monkeypatch):
     monkeypatch.setattr(performance, "by_wallet", lambda *_: wallets)
     given, few = performance.bootstrap(spark, "").first(), performance.bootstrap(spark, "", times=200).first()
     assert given == performance.bootstrap(spark, "", times=1000).first() != few
+
+
+def test_log_words_are_exact_integers(spark):
+    import hashlib
+
+    from wagerlake import registry
+    from wagerlake.sources.carriers import feed
+
+    d = "/root/testdata/sf0.001"
+    stake = {r.id: r.stake_cents for r in feed(spark, d).collect()}
+    got = {r.id: list(r.words) for r in registry.queries()["F17_log_words"](spark, d).collect()}
+    assert got == {i: [str(int(hashlib.sha256(str(i).encode()).hexdigest(), 16)), str(s)] for i, s in stake.items()}
+
+
+def test_fair_lines_before_and_after_the_start(spark):
+    """Narrow before the start; fresh on both sides and in agreement after it; the other venue before manifold; own middle where no price was paid."""
+    from wagerlake.plans import exchange as X
+
+    cols = "market long, source string, kb double, ka double, kg long, pb double, pa double, pg long, mb double, ma double, mg long, starts_in long, days_off long, paid double"
+    rows = [
+        (1, "polymarket", 0.50, 0.54, 500, 0.40, 0.44, 500, None, None, None, 100, 0, 0.40),
+        (2, "polymarket", 0.50, 0.54, 10, 0.46, 0.50, 10, None, None, None, -100, 0, None),
+        (3, "polymarket", 0.50, 0.54, 70, 0.46, 0.50, 10, 0.60, 0.62, 5, -100, 0, 0.5),
+        (4, "kalshi", 0.50, 0.54, 10, 0.20, 0.24, 10, None, None, None, -100, 0, 0.5),
+        (5, "kalshi", 0.50, 0.54, 10, None, 0.24, 10, None, None, None, 100, 0, 0.5),
+        (6, "kalshi", None, None, 10, 0.30, 0.34, 10, None, None, None, 100, 0, None),
+    ]
+    got = {r.market: (r.reason, r.fair_source, r.ev) for r in X.cross_market(spark.createDataFrame(rows, cols), X.c("source"), X.c("paid")).collect()}
+    assert got == {1: ("ok", "kalshi", 30.0), 2: ("ok", "kalshi", 8.3), 3: ("in_play", None, None), 4: ("in_play", None, None), 5: ("fair_line_stale", None, None), 6: ("missing_price", None, None)}
