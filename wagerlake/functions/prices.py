@@ -62,6 +62,7 @@ def american_odds(odds: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
+    """The normal distribution by the polynomial 26.2.17 of Abramowitz and Stegun's handbook; its coefficients are fixed values."""
     t = 1 / (1 + 0.2316419 * F.abs(x))
     tail = 0.3989423 * F.exp(-x * x / 2) * t * (0.3193815 + t * (-0.3565638 + t * (1.781478 + t * (-1.821256 + t * 1.330274))))
     return F.when(x >= 0, 1 - tail).otherwise(tail)

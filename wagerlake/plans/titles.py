@@ -72,25 +72,21 @@ def badges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(c("p_partkey").alias("market"), badge(pick(TITLES, c("p_partkey"))).alias("b")).select("market", "b.*")
 
 
-#: Assets whose up-or-down markets end within minutes.
-SHORT_TERM = {"bitcoin": "btc", "ethereum": "eth", "solana": "sol"}
+#: Patterns of short-term crypto markets. An asset's up-or-down market; up-or-down words, which count beside a clock range; "updown" beside minutes.
+ASSET_UP_DOWN = r"btc[- ]?up[- ]?down|bitcoin up or down|eth[- ]?up[- ]?down|ethereum up or down|sol[- ]?up[- ]?down"
+UP_OR_DOWN = r"up[- ]?or[- ]?down"
+CLOCK_RANGE = r"\d{1,2}:\d{2}\s*(am|pm)?\s*[-–]\s*\d{1,2}:\d{2}"
+UPDOWN_MINUTES = r"updown[-_]?\d+m|\d+m[-_]updown|updown[-_]?\d+min"
 
 
-def ephemeral(text: Column, assets: dict[str, str] = SHORT_TERM) -> Column:
-    """Markets that settle within minutes, by any of three rules: an asset's up-and-down market, by ticker or full name; an up-or-down text with
-    a clock range; "updown" beside a number of minutes. A full name counts with the words spelt out, for bitcoin and ethereum."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    gap = "[ -]?"
-    by_asset = t.rlike(f"(?:{'|'.join(assets.values())}){gap}up{gap}down") | t.rlike(f"(?:{'|'.join(n for n in assets if n != 'solana')}) up or down")
-    clock = "[0-9]{1,2}:[0-9]{2}"
-    ranged = t.rlike(f"up{gap}or{gap}down") & t.rlike(f"{clock}\\s*(?:am|pm)?\\s*[-–]\\s*{clock}")
-    return by_asset | ranged | t.rlike("updown[-_]?[0-9]+m") | t.rlike("[0-9]+m[-_]updown")
+def ephemeral(*texts: Column) -> Column:
+    """Whether slug, event slug and title, joined by spaces, name a market that settles within minutes; nulls and empty texts don't count."""
+    t = F.lower(F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in texts)))
+    return t.rlike(ASSET_UP_DOWN) | (t.rlike(UP_OR_DOWN) & t.rlike(CLOCK_RANGE)) | t.rlike(UPDOWN_MINUTES)
 
 
-_UP = "regexp_matches(t, '(btc|eth|sol)[- ]?up[- ]?down') OR contains(t, 'bitcoin up or down') OR contains(t, 'ethereum up or down')"
-
-
-@query("P20_ephemeral", f"SELECT market, {_UP} OR (regexp_matches(t, 'up[- ]?or[- ]?down') AND regexp_matches(t, '[0-9]{{1,2}}:[0-9]{{2}}\\s*(am|pm)?\\s*[-–]\\s*[0-9]{{1,2}}:[0-9]{{2}}')) OR regexp_matches(t, 'updown[-_]?[0-9]+m|[0-9]+m[-_]updown') AS ephemeral FROM (SELECT p_partkey AS market, lower({_pick(SLUGS, 'p_partkey')}) AS t FROM part)")
+@query("P20_ephemeral", f"""SELECT market, regexp_matches(t, '{ASSET_UP_DOWN}') OR (regexp_matches(t, '{UP_OR_DOWN}') AND regexp_matches(t, '{CLOCK_RANGE}')) OR regexp_matches(t, '{UPDOWN_MINUTES}') AS ephemeral
+ FROM (SELECT p_partkey AS market, lower({_pick(SLUGS, 'p_partkey')}) AS t FROM part)""")
 def ephemeral_markets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(c("p_partkey").alias("market"), ephemeral(pick(SLUGS, c("p_partkey"))).alias("ephemeral"))
 
