@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, embedding_join, importance, language_id, minhash_join, packing, prefix_free, quality_lm, repetition, token_counts, warc_revisits
+from . import bpe_stream, collocations, embedding_join, importance, language_id, minhash_join, packing, prefix_free, quality_lm, repetition, token_counts, warc_revisits
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -72,7 +72,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op6_language_id, op7_token_counts, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_importance_resampling)}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op6_language_id, op7_token_counts, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_importance_resampling, op12_phrase_collocations)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -147,4 +151,18 @@ y AS (SELECT w.doc_id, len(w.w) AS words, coalesce(n, 0) AS n_features, coalesce
 s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM y),
 r AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS r, count(*) FILTER (words >= 20) OVER () AS n FROM s)
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM r""",
+    "op12_phrase_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, unnest(list_transform(range(1, len(w) - d + 2), lambda i: w[i:i + d - 1])) AS p FROM w, range(1, 5) d(d)),
+f AS (SELECT lang, array_to_string(p, ' ') AS phrase, p, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(p) > 1 AND a >= 30),
+k AS (SELECT lang, phrase, p, a, unnest(range(1, len(p))) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, 2000000 * k.a::HUGEINT // (x.a + y.a) AS score FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.p[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.p[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, p, a, d, unnest(range(1, len(p) - d + 2)) AS i FROM c, range(2, 4) d(d) WHERE d < len(p)),
+m AS (SELECT lang, array_to_string(p[i:i + d - 1], ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b LEFT JOIN m USING (lang, phrase) WHERE coalesce(100 * longer < 80 * a, true))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
 }
