@@ -16,6 +16,9 @@ BLOCK = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: A-Z in lower case, the bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ as they are, all else a space.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)

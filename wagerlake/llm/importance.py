@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import same_rows, staged
+from .common import FOLD, same_rows, staged
 
 #: Number of buckets: what the driver takes of a corpus, and what a task holds of a text, is bounded by it.
 BUCKETS = 10_000
 #: Bytes of text that one SQL statement counts at once; longer texts are cut at a space.
 RUN = 4 << 20
-#: A-Z in lower case, words [0-9a-z] and bytes beyond ASCII as they are, all else a space.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 COUNTS = "doc_id long, n_features long, buckets array<int>, counts array<int>"
 #: batch(k, carried, text): a carried piece begins with the last word of the piece before, whose own occurrence is counted there.
 _SQL = """
@@ -74,7 +72,7 @@ def _runs(texts: list[str | None], limit: int) -> Iterator[tuple[list[int], list
     """(index of the text, carried, piece) of runs of about limit bytes."""
     of, carried, run, size = [], [], [], 0
     for i, t in enumerate(texts):
-        for again, part in pieces(t.encode().translate(_FOLD) if t else b"", limit):
+        for again, part in pieces(t.encode().translate(FOLD) if t else b"", limit):
             if size and size + len(part) > limit:
                 yield of, carried, run
                 of, carried, run, size = [], [], [], 0

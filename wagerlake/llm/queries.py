@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, collocations, embedding_join, importance, language_id, minhash_join, packing, prefix_free, quality_lm, repetition, token_counts, warc_revisits
+from . import bpe_stream, collocations, embedding_join, importance, language_id, license_scan, minhash_join, packing, prefix_free, quality_lm, repetition, token_counts, warc_revisits
 from .common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -76,8 +76,13 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op6_language_id, op7_token_counts, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_importance_resampling, op12_phrase_collocations)}
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_quality_rules, op4_warc_revisits, op5_bpe_round_trip, op6_language_id, op7_token_counts, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_importance_resampling, op12_phrase_collocations, op13_license_scan)}
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', {k}, [{', '.join(repr(w.decode()) for w in words)}])" for i, label, k, words in license_scan.templates())
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
@@ -165,4 +170,19 @@ i AS (SELECT lang, p, a, d, unnest(range(1, len(p) - d + 2)) AS i FROM c, range(
 m AS (SELECT lang, array_to_string(p[i:i + d - 1], ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
 r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b LEFT JOIN m USING (lang, phrase) WHERE coalesce(100 * longer < 80 * a, true))
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_license_scan": r"""
+WITH t(t, label, k, w) AS (VALUES """ + _TEMPLATES + r"""),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tg AS (SELECT t, label, k, len(w) AS n, i, array_to_string(w[i + 1:i + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS i FROM t)),
+dg AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS i FROM d, (VALUES (2), (4)) k(k))),
+h AS (SELECT doc_id, t, label, k, n, dg.i - tg.i AS diag, dg.i AS pos FROM dg JOIN tg USING (k, g)),
+l AS (SELECT doc_id, t, label, k, n, diag, count(DISTINCT pos) AS votes, min(pos) AS lo, max(pos + k) AS hi FROM h GROUP BY ALL),
+m AS (SELECT *, sum((k = 2 OR coalesce(diag - before > 8, true))::INT) OVER (PARTITION BY doc_id, t ORDER BY diag) AS grp FROM (SELECT *, lag(diag) OVER (PARTITION BY doc_id, t ORDER BY diag) AS before FROM l)),
+s AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, t, grp) AS every FROM m),
+c AS (SELECT * FROM s WHERE CASE WHEN k = 2 THEN votes = n - 1 ELSE 100 * every >= 40 * (n - k + 1) END),
+p AS (SELECT c.doc_id, c.t, c.label, c.k, c.n, c.grp, c.diag, unnest(range(c.lo, c.hi)) AS pos FROM c),
+v AS (SELECT p.doc_id, p.label, p.k, p.n, p.grp, min(p.diag) AS diag, count(DISTINCT pos - p.diag) AS same FROM p JOIN d USING (doc_id) JOIN t ON t.t = p.t WHERE d.w[pos + 1] = t.w[pos - p.diag + 1] GROUP BY p.doc_id, p.t, p.label, p.k, p.n, p.grp),
+f AS (SELECT * FROM v WHERE 100 * same >= CASE WHEN k = 2 THEN 100 ELSE 75 END * n),
+r AS (SELECT doc_id, count(*) FILTER (k = 2) AS n_base, min(diag) FILTER (k = 2) AS first_word, max(diag) FILTER (k = 2) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (k = 2) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(same / n) AS score FROM f GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (doc_id)""",
 }
