@@ -284,6 +284,21 @@ def test_tables_of_unsound_vectors_have_no_links(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (3, 0, 3)]
 
 
+def test_vectors_of_any_magnitude_keep_their_links(spark):
+    """Squares that leave the range of doubles, and a tiny vector beside ordinary ones."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1e-200, 0.0]), (4, [0.0, 1.0]), (5, [1e300, 1e298]), (6, [0.0, 5e-324]), (7, [-1e80, 1e78])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (1, 4), 5: (3, 1), 6: (1, 4), 7: (0, 7)}
+    assert embedding_join.near_duplicates(spark.createDataFrame([(1, [1e80, 0.0]), (2, [1e80, 1e78])], "vec_id long, embedding array<double>")).where("n_links = 1").count() == 2
+
+
+def test_basis_is_that_of_all_partitions(spark):
+    v = np.random.default_rng(3).normal(size=(300, 6)) * [5, 4, 3, 2, 1, 0.5]
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    basis = embedding_join.bases(spark.createDataFrame([(x.tolist(),) for x in v], "v array<double>").repartition(9))[6]
+    assert np.allclose(np.abs(basis.T @ (u.T @ u) @ basis), np.diag(np.linalg.eigvalsh(u.T @ u)[::-1]), atol=1e-9)
+
+
 def test_vectors_are_compared_in_double_precision(spark):
     """Two doubles whose cosine is just below the threshold, and would reach it as floats."""
     a = np.zeros(6)

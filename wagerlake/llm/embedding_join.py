@@ -24,8 +24,14 @@ TILE, BOX, HEAD = 4096, 8, 16
 SLACK = 1e-9
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by the power of two that brings its largest component to 0.5 or more, below 1: exact, and no square leaves the range of doubles."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    v = scaled(vectors)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,14 +44,26 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"d": list(total), "m": [m.ravel() for m in total.values()]})
 
 
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for d, m in zip(batch["d"], batch["m"], strict=True):
+            total[d] = total.get(d, 0) + m
+    if total:
+        yield pd.DataFrame({"d": list(total), "m": list(total.values())})
+
+
 def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """An orthogonal basis in order of variance for each dimension; the driver sees one d x d matrix a partition."""
+    """An orthogonal basis in order of variance for each dimension; matrices are summed in two steps, so the driver sees one d x d matrix a dimension."""
     found = vectors.select("v").mapInPandas(_moments, "d int, m array<double>")
-    each = found.select("d", F.posexplode("m").alias("i", "x")).groupBy("d", "i").agg(F.sum("x").alias("x"))
+    for tasks in (max(1, round(vectors.sparkSession.sparkContext.defaultParallelism ** 0.5)), 1):
+        found = found.repartition(tasks).mapInPandas(_summed, "d int, m array<double>")
     out: dict[int, np.ndarray] = {}
-    for d, part in each.toPandas().groupby("d"):
-        m = part.sort_values("i")["x"].to_numpy().reshape(d, d)
+    for d, m in found.toPandas().itertuples(index=False):
+        m = np.asarray(m).reshape(d, d)
         out[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]
+        if not np.isfinite(out[int(d)]).all():
+            raise ValueError(f"no basis for dimension {d}")
     return out
 
 
@@ -82,6 +100,7 @@ def _labels(i: np.ndarray, j: np.ndarray, n: int, ids: np.ndarray) -> np.ndarray
 
 def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of all pairs with cosine >= threshold; of one tile with itself only i < j."""
+    a, b = scaled(a), scaled(b)
     ua, ub = _unit(a), _unit(b)
     pa, pb = ua @ basis, ub @ basis
     h = min(HEAD, a.shape[1])
@@ -122,7 +141,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     """vec_id, n_links, component_id for rows (vec_id, embedding array of float or double), by cosine >= threshold in double precision.
 
     Null vectors, zero ones and such with null or non-finite components link with nothing; vectors of different lengths don't
-    either. Equal vectors are linked. Rows that repeat a vec_id count each as a vector and come back each; a null vec_id has no row; extra columns are
+    either. Vectors of any finite magnitude are compared alike. Equal vectors are linked. Rows that repeat a vec_id count each as a vector and come back each; a null vec_id has no row; extra columns are
     ignored; an empty table, or one without a sound vector, gives no links. The query compares all pairs of classes of equal vectors: work is quadratic in them but for what boxes and
     bounds cut off, every task holds two tiles, and a tile pair answers with a row for each linked vector at most.
     """
