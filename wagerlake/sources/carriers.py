@@ -22,6 +22,10 @@ VIEWS = {
     "v_chain": """SELECT event_id AS raw_id, user_id AS wallet, CASE event_id % 6 WHEN 0 THEN 'redeem' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'Split' WHEN 3 THEN 'reward' ELSE 'TRADE' END AS raw_type, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, event_id % 40 AS condition, event_id % 80 + 1 AS asset,
  (event_id * 7 % 50)::BIGINT AS shares, (event_id * 13 % 97 + 1) / 100.0::DOUBLE AS price, (event_id * 7 % 50)::BIGINT * 3 AS cash, CASE WHEN event_id % 19 > 0 THEN (epoch_us(ts) // 1000000)::BIGINT // 3600 * 3600 END AS ts, CASE WHEN event_id % 9 > 0 THEN (CASE WHEN event_id % 2 = 0 THEN '0xAB' ELSE '0xab' END) || (event_id // 2 % 300) END AS tx,
  CASE WHEN event_id % 8 > 0 THEN event_id // 2 % 1000 END AS block, CASE WHEN event_id // 2 % 300 % 4 > 0 AND event_id % 3 > 0 THEN event_id % 50 END AS log_index, CASE WHEN event_id % 5 = 0 THEN 'activity' ELSE 'polygon' END AS source FROM events""",
+    "v_rows": """SELECT event_id AS id, user_id AS wallet, CASE event_id * 7919 % 23 WHEN 0 THEN 'redeem' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'Split' WHEN 3 THEN 'reward' ELSE 'TRADE' END AS raw_type, CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_type IN ('purchase', 'signup', 'view') THEN 'BUY' ELSE 'SELL' END AS side,
+ event_id % 12 + 2 AS asset, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 40 ELSE (event_id % 12 + 2) // 2 END AS condition, (1 + (event_id % 5 = 0)::INT)::DOUBLE AS shares, (event_id * 13 % 97 + 1) / 100.0::DOUBLE AS price,
+ CASE WHEN event_id * 7919 % 23 < 4 THEN 0.25::DOUBLE * (event_id % 4) ELSE (1 + (event_id % 5 = 0)::INT)::DOUBLE * ((event_id * 13 % 97 + 1) / 100.0::DOUBLE) END AS cash, CASE WHEN event_id % 19 > 0 THEN (epoch_us(ts) // 1000000)::BIGINT END AS ts,
+ CASE WHEN event_id % 9 > 0 THEN (CASE WHEN event_id % 2 = 0 THEN '0xAB' ELSE '0xab' END) || (event_id // 2) END AS tx, CASE WHEN event_id % 8 > 0 THEN (epoch_us(ts) // 1000000)::BIGINT // 259200 END AS block, CASE WHEN event_id % 6 > 0 THEN event_id % 10 END AS tx_index, CASE WHEN event_id % 7 > 0 THEN event_id % 10 * 5 + event_id % 3 END AS log_index FROM events""",
     "v_games": """SELECT p_partkey AS market, CASE WHEN p_partkey % 2 = 0 THEN 'polymarket' ELSE 'kalshi' END AS source, CASE WHEN p_partkey % 7 > 0 THEN (p_partkey * 13 % 90 + 3) / 100.0::DOUBLE END AS kb, (p_partkey * 13 % 90 + 4 + p_size % 8) / 100.0::DOUBLE AS ka, p_partkey * 11 % 90 AS kg,
  (p_partkey * 17 % 90 + 3) / 100.0::DOUBLE AS pb, CASE WHEN p_partkey % 13 > 0 THEN (p_partkey * 17 % 90 + 4 + p_size % 7) / 100.0::DOUBLE END AS pa, CASE WHEN p_partkey % 17 > 0 THEN p_partkey * 19 % 80 END AS pg, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 29 % 97 + 1) / 100.0::DOUBLE END AS mb,
  CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 29 % 97 + 4) / 100.0::DOUBLE END AS ma, p_partkey * 23 % 70 AS mg, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 200 - 100 END AS starts_in, p_partkey % 5 - 2 AS days_off, CASE WHEN p_partkey % 10 > 0 THEN (p_partkey * 7 % 100) / 100.0::DOUBLE END AS paid FROM part""",
@@ -83,6 +87,19 @@ def chain_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a ledger of all five event types, with conditions, times, hashes, blocks and places in a block missing here and there."""
+    i, kind, time = F.col("event_id"), F.col("event_id") * 7919 % 23, seconds(F.col("ts"))
+    shares, price = F.when(i % 5 == 0, 2.0).otherwise(1.0), cents(i * 13 % 97 + 1)
+    return table(spark, d, "events").select(
+        i.alias("id"), F.col("user_id").alias("wallet"), F.when(kind == 0, "redeem").when(kind == 1, "MERGE").when(kind == 2, "Split").when(kind == 3, "reward").otherwise("TRADE").alias("raw_type"),
+        F.when(i % 31 == 0, None).when(F.col("event_type").isin("purchase", "signup", "view"), "BUY").otherwise("SELL").alias("side"), (i % 12 + 2).alias("asset"),
+        F.when(i % 13 == 0, None).when(i % 17 == 0, 40).otherwise(F.floor((i % 12 + 2) / 2).cast("long")).alias("condition"), shares.alias("shares"), price.alias("price"), F.when(kind < 4, F.lit(0.25) * (i % 4)).otherwise(shares * price).alias("cash"),
+        F.when(i % 19 > 0, time).alias("ts"), F.when(i % 9 > 0, F.concat(F.when(i % 2 == 0, "0xAB").otherwise("0xab"), F.floor(i / 2).cast("long").cast("string"))).alias("tx"),
+        F.when(i % 8 > 0, F.floor(time / 259200).cast("long")).alias("block"), F.when(i % 6 > 0, i % 10).alias("tx_index"), F.when(i % 7 > 0, i % 10 * 5 + i % 3).alias("log_index"),
+    )
+
+
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("token"), seconds(F.col("ts")).alias("t"), F.col("event_id").alias("k"), cents((F.col("event_id") * 29) % 97 + 2).alias("p"))
 
