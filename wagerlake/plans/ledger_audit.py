@@ -146,18 +146,19 @@ def block_times(spark: SparkSession, d: str) -> DataFrame:
     return e.where("source = 'polygon'").join(known, "block", "left").select("raw_id", F.coalesce("at", F.lit(0)).alias("at"), kind.alias("kind"))
 
 
-_PRICES = ('["0.97","0.03"]', '["0.03","0.96"]', '["0.50","0.50"]', '["0.95","0.05"]', '["0.94","0.06"]', "not json", '["1"]', "[]")
+_PRICES = ('["0.97","0.03"]', '["0.03","0.96"]', '["0.50","0.50"]', '["0.95","0.05"]', '["0.94","0.06"]', "not json", '["1"]', "[]", '["x","0.97","0.02"]')
 _UMA = ("", "resolved", "proposed", "disputed", "Final")
 
 
 @query("P09_resolution_class", f"""SELECT market, CASE WHEN NOT found THEN 'missing_metadata' WHEN uma <> '' AND NOT regexp_matches(lower(uma), 'resolved|confirmed|final') THEN 'unresolved_or_disputed' WHEN closed AND win IS NOT NULL AND len(p) >= 2 AND list_max(p) >= 0.95 AND list_min(p) <= 0.05 THEN 'resolved'
  WHEN closed AND win IS NULL THEN 'unresolved_or_disputed' ELSE 'open' END AS status, win FROM (SELECT *, CASE WHEN list_contains(list_transform(p, lambda x: x >= 0.95), true) THEN list_position(list_transform(p, lambda x: x >= 0.95), true) - 1 END AS win FROM (
- SELECT p_partkey AS market, p_partkey % 10 <> 0 AS found, p_partkey % 3 <> 0 AS closed, ({list(_UMA)!r})[p_partkey % 5 + 1] AS uma, list_transform(coalesce(try_cast(CASE WHEN json_valid(raw) THEN raw END AS VARCHAR[]), []), lambda x: trim(x, '"')::DOUBLE) AS p FROM (SELECT p_partkey, ([{", ".join("'" + x + "'" for x in _PRICES)}])[p_partkey % 8 + 1] AS raw FROM part)))""")
+ SELECT p_partkey AS market, p_partkey % 10 <> 0 AS found, p_partkey % 3 <> 0 AS closed, ({list(_UMA)!r})[p_partkey % 5 + 1] AS uma, list_filter(list_transform(coalesce(try_cast(CASE WHEN json_valid(raw) THEN raw END AS VARCHAR[]), []), lambda x: try_cast(trim(x, '"') AS DOUBLE)), lambda x: x IS NOT NULL) AS p FROM (SELECT p_partkey, ([{", ".join("'" + x + "'" for x in _PRICES)}])[p_partkey % {len(_PRICES)} + 1] AS raw FROM part)))""")
 def resolution_class(spark: SparkSession, d: str) -> DataFrame:
     """A market's state from its metadata row: missing, disputed, resolved with a winner at 0.95 or more and a loser at 0.05 or less, or open."""
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (c("p_partkey") % n).cast("int"))
-    m = table(spark, d, "part").select(c("p_partkey").alias("market"), (c("p_partkey") % 10 != 0).alias("found"), (c("p_partkey") % 3 != 0).alias("closed"), pick(_UMA, 5).alias("uma"), pick(_PRICES, 8).alias("raw"))
-    m = m.withColumn("p", F.transform(F.coalesce(F.from_json("raw", "array<string>"), F.array().cast("array<string>")), lambda x: x.try_cast("double")))
+    m = table(spark, d, "part").select(c("p_partkey").alias("market"), (c("p_partkey") % 10 != 0).alias("found"), (c("p_partkey") % 3 != 0).alias("closed"), pick(_UMA, 5).alias("uma"), pick(_PRICES, len(_PRICES)).alias("raw"))
+    numbers = F.transform(F.coalesce(F.from_json("raw", "array<string>"), F.array().cast("array<string>")), lambda x: x.try_cast("double"))
+    m = m.withColumn("p", F.filter(numbers, lambda x: x.isNotNull()))  # what is no number has no place, so that winners are counted among prices
     at = F.array_position(F.transform("p", lambda x: x >= WINNER), True)
     m = m.withColumn("win", F.when(at > 0, at - 1))
     settled = c("win").isNotNull() & (F.size("p") >= 2) & (F.array_max("p") >= WINNER) & (F.array_min("p") <= LOSER)

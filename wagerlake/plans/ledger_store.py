@@ -102,3 +102,64 @@ def snapshot_replay(spark: SparkSession, d: str, until: int = 1_705_000_000) ->
         met = sums(whole, "x").join(sums(kept, "y"), "wallet", "full").select("wallet", F.coalesce(c("x") == c("y"), F.lit(False)).alias(f"same_{v}"))
         out = out.join(met, "wallet", "left").withColumn(f"same_{v}", F.coalesce(f"same_{v}", c(f"events_{v}") == 0))
     return out
+
+
+def write_plan(stored: DataFrame, computed: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """What bringing stored episodes up to computed ones takes: insert, update, delete or unchanged for each (wallet, asset, episode).
+
+    Full mode (touched null) plans all positions; the incremental one only those in touched (wallet, asset), and leaves stored rows of others alone. Rows are
+    equal if everything but the key is, sums to six decimals.
+    """
+    keys = [*POSITION, "episode"]
+    line = F.xxhash64("mixed", "n", "first", "last", *(_six(c(x)) for x in _SUMS))
+    of = lambda df, name: df.select(*keys, line.alias(name))
+    old, new = of(stored, "old"), of(computed, "new")
+    if touched is not None:
+        only = touched.select(*POSITION).distinct()
+        old, new = (x.join(only, [*POSITION], "left_semi") for x in (old, new))
+    action = F.when(c("old").isNull(), "insert").when(c("new").isNull(), "delete").when(c("old") == c("new"), "unchanged").otherwise("update")
+    return old.join(new, keys, "full").select(*keys, action.alias("action"))
+
+
+def parity(stored: DataFrame, computed: DataFrame) -> DataFrame:
+    """For each wallet: episodes of either side, equal ones, and those that are only stored, only computed or differ."""
+    plan = write_plan(stored, computed)
+    of = lambda x: F.count_if(c("action") == x)
+    return plan.groupBy("wallet").agg(F.count("*").alias("episodes"), of("unchanged").alias("equal"), of("delete").alias("only_stored"), of("insert").alias("only_computed"), of("update").alias("different"))
+
+
+_UNTIL = 1_705_500_000
+
+
+def _stored_and_computed(spark: SparkSession, d: str, until: int = _UNTIL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Episodes stored from the events up to a time (none of wallets that end in 0, one too many of those that end in 1), episodes of all events, positions with events behind that time."""
+    e = merged(*_lists(spark, d))
+    flat = lambda x: episodes(ordered(x, *POSITION)).select(*POSITION, c("episode").cast("long").alias("episode"), "mixed", "n", "first", "last", "s.*")
+    store = replay_table(spark)
+    old = flat(e.where(c("ts") <= until)).where("wallet % 10 <> 0")
+    gone = old.where("wallet % 10 = 1 and episode = 0").withColumn("episode", F.lit(99).cast("long"))
+    store.merge(old.unionByName(gone), "ledger", 0)
+    return store.read(), flat(e), e.where(c("ts") > until).select(*POSITION)
+
+
+_KEPT_EVENTS = "e AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY wallet, key ORDER BY rank, at_) = 1)"
+_BEFORE = _REPLAY.replace(_KEPT_EVENTS, f"{_KEPT_EVENTS[:-1].replace('(SELECT * FROM k', '(SELECT * FROM (SELECT * FROM k')}) WHERE ts <= {_UNTIL})", 1)
+_ROW = "struct_pack(m := mixed, n := n, f := first, l := last, " + ", ".join(f"{x} := floor({x} * 1000000 + 0.5)" for x in _SUMS) + ") AS r"
+_PLAN = f"""WITH y0 AS (SELECT wallet, asset, episode, {_ROW} FROM (WITH RECURSIVE {_BEFORE} SELECT * FROM y)), n AS (SELECT wallet, asset, episode, {_ROW} FROM (WITH RECURSIVE {_REPLAY} SELECT * FROM y)),
+t AS (SELECT DISTINCT wallet, asset FROM (WITH {_LISTS} SELECT * FROM e) WHERE ts > {_UNTIL}), o2 AS (SELECT * FROM y0 WHERE wallet % 10 <> 0), o3 AS (SELECT * FROM o2 UNION ALL SELECT wallet, asset, 99, r FROM o2 WHERE wallet % 10 = 1 AND episode = 0),
+p AS (SELECT coalesce(o3.wallet, n.wallet) AS wallet, coalesce(o3.asset, n.asset) AS asset, coalesce(o3.episode, n.episode)::BIGINT AS episode, CASE WHEN o3.r IS NULL THEN 'insert' WHEN n.r IS NULL THEN 'delete' WHEN o3.r = n.r THEN 'unchanged' ELSE 'update' END AS action FROM o3 FULL JOIN n ON o3.wallet = n.wallet AND o3.asset = n.asset AND o3.episode = n.episode)"""
+
+
+@query("L16_stored_write_plan", f"{_PLAN} SELECT p.*, t.wallet IS NOT NULL AS incremental FROM p LEFT JOIN t ON t.wallet = p.wallet AND t.asset = p.asset")
+def stored_write_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The full plan against a stored table, and which of its rows the incremental one has too."""
+    stored, computed, touched = _stored_and_computed(spark, d)
+    some = write_plan(stored, computed, touched).select(*POSITION, "episode", F.lit(True).alias("incremental"))
+    return write_plan(stored, computed).join(some, [*POSITION, "episode"], "left").withColumn("incremental", F.coalesce("incremental", F.lit(False)))
+
+
+@query("L18_stored_parity", f"{_PLAN} SELECT wallet, count(*) AS episodes, count(*) FILTER (action = 'unchanged') AS equal, count(*) FILTER (action = 'delete') AS only_stored, count(*) FILTER (action = 'insert') AS only_computed, count(*) FILTER (action = 'update') AS different FROM p GROUP BY wallet")
+def stored_parity(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table against the replay of all events."""
+    stored, computed, _ = _stored_and_computed(spark, d)
+    return parity(stored, computed)
