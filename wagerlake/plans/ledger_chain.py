@@ -163,10 +163,15 @@ def lifecycles(e: DataFrame, resolved: DataFrame, tokens: DataFrame | None = Non
     )
 
 
+def money(x: Column) -> Column:
+    """The sum of x, each to six decimals: the same in whatever order rows come."""
+    return F.coalesce(F.sum(x.cast("decimal(38,6)")).cast("double"), F.lit(0.0))
+
+
 def _bundle(where: Column, name: str) -> list[Column]:
     """Twelve measures of the positions where it holds; medians are exact."""
     of = lambda x: F.when(where, x)
-    capital, total, pnl = of(F.when(c("capital") > 0, c("capital"))), F.coalesce(F.sum(of(c("capital"))), F.lit(0.0)), F.coalesce(F.sum(of(c("pnl"))), F.lit(0.0))
+    capital, total, pnl = of(F.when(c("capital") > 0, c("capital"))), money(of(c("capital"))), money(of(c("pnl")))
     n, held = F.count_if(where), F.count_if(where & c("held"))
     return [F.struct(
         n.alias("completed"), held.alias("held"), F.when(n > 0, F.count_if(where & (c("pnl") > 0)) / n).alias("profitable_rate"), F.when(total > 0, pnl / total).alias("portfolio_roi"), F.coalesce(F.median(capital), F.lit(0.0)).alias("median_capital"),
@@ -181,12 +186,12 @@ def wallet_metrics(p: DataFrame) -> DataFrame:
     credible = done & ~c("excluded") & ((c("reason") == "fully_exited") | c("final"))
     safe = c("mixed") & c("fully_exited") & (c("buy") > 0)
     need = c("held") | (~c("fully_exited") & (c("shares") > 0) & (c("buy") > 0) & ~c("mixed"))
-    cash = F.coalesce(F.sum(F.when(c("mixed"), c("buy") + c("sell") + c("redeem"))), F.lit(0.0))
+    cash = money(F.when(c("mixed"), c("buy") + c("sell") + c("redeem")))
     return p.groupBy("wallet").agg(
         F.count("*").alias("positions"), F.count_if("completed").alias("completed"), F.count_if(~c("completed")).alias("open"), F.count_if("excluded").alias("excluded"), F.count_if("fully_exited").alias("fully_exited"), F.count_if("held").alias("held"),
         F.count_if(c("correct")).alias("winning_held"), F.count_if(~c("correct")).alias("losing_held"), F.count_if(c("held") & ~c("final")).alias("unresolved_held"), *_bundle(done, "observed"), *_bundle(credible, "credible"),
         F.count_distinct(F.when(need, c("condition"))).alias("required"), F.count_distinct(F.when(need & c("final"), c("condition"))).alias("resolved"), F.count_if("mixed").alias("merge_split"), share(c("mixed")).alias("share_affected"), cash.alias("cash_affected"),
-        F.coalesce(F.sum(F.when(c("mixed"), c("capital"))), F.lit(0.0)).alias("capital_affected"), F.count_if(safe).alias("safe"), F.count_if(c("mixed") & ~safe).alias("ambiguous"), share(c("mixed") & ~safe).alias("share_ambiguous"),
+        money(F.when(c("mixed"), c("capital"))).alias("capital_affected"), F.count_if(safe).alias("safe"), F.count_if(c("mixed") & ~safe).alias("ambiguous"), share(c("mixed") & ~safe).alias("share_ambiguous"),
     ).withColumn("advice", F.when(c("share_ambiguous") < MATERIAL, "exclude_policy_sufficient").otherwise("phase_2c_accounting_required"))
 
 
@@ -269,10 +274,14 @@ def chain_lifecycles(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumns({x: _six(c(x)) for x in ("shares", "most", "buy", "sell", "redeem", "payout", "capital", "pnl", "roi")})
 
 
+def _money(x: str) -> str:
+    return f"sum(CAST({x} AS DECIMAL(38,6)))"
+
+
 def _bundle_sql(where: str, name: str) -> str:
     f = f"FILTER ({where})"
-    return f"""struct_pack(completed := count(*) {f}, held := count(*) FILTER (({where}) AND held), profitable_rate := count(*) FILTER (({where}) AND pnl > 0) / nullif(count(*) {f}, 0), portfolio_roi := CASE WHEN sum(capital) {f} > 0 THEN sum(pnl) {f} / sum(capital) {f} END, median_capital := coalesce(median(capital) FILTER (({where}) AND capital > 0), 0),
- mean_capital := coalesce(sum(capital) {f} / nullif(count(*) FILTER (({where}) AND capital > 0), 0), 0), total_capital := coalesce(sum(capital) {f}, 0), total_pnl := coalesce(sum(pnl) {f}, 0), median_roi := median(roi) {f}, win_rate := count(*) FILTER (({where}) AND held AND correct) / nullif(count(*) FILTER (({where}) AND held), 0)) AS {name}"""
+    return f"""struct_pack(completed := count(*) {f}, held := count(*) FILTER (({where}) AND held), profitable_rate := count(*) FILTER (({where}) AND pnl > 0) / nullif(count(*) {f}, 0), portfolio_roi := CASE WHEN {_money("capital")} {f} > 0 THEN ({_money("pnl")} {f})::DOUBLE / ({_money("capital")} {f})::DOUBLE END, median_capital := coalesce(median(capital) FILTER (({where}) AND capital > 0), 0),
+ mean_capital := coalesce(({_money("capital")} {f})::DOUBLE / nullif(count(*) FILTER (({where}) AND capital > 0), 0), 0), total_capital := coalesce(({_money("capital")} {f})::DOUBLE, 0), total_pnl := coalesce(({_money("pnl")} {f})::DOUBLE, 0), median_roi := median(roi) {f}, win_rate := count(*) FILTER (({where}) AND held AND correct) / nullif(count(*) FILTER (({where}) AND held), 0)) AS {name}"""
 
 
 _MEASURES = ("profitable_rate", "portfolio_roi", "median_capital", "mean_capital", "total_capital", "total_pnl", "median_roi", "win_rate")
@@ -283,7 +292,7 @@ _FLAT = ", ".join(f"{b}.completed AS {b}_completed, {b}.held AS {b}_held, " + ",
 @query("C08_ledger_audit", f"""WITH RECURSIVE {_REPLAY}, w AS (SELECT user_id AS wallet, count(*) FILTER (event_id % 4 <> 0) >= {CAP} AS cut FROM events GROUP BY ALL),
 g AS (SELECT wallet, count(*) AS positions, count(*) FILTER (completed) AS completed, count(*) FILTER (NOT completed) AS open, count(*) FILTER (excluded) AS excluded, count(*) FILTER (fully_exited) AS fully_exited, count(*) FILTER (held) AS held, count(*) FILTER (correct) AS winning_held, count(*) FILTER (NOT correct) AS losing_held,
  {_bundle_sql("completed AND pnl IS NOT NULL", "observed")}, {_bundle_sql("completed AND pnl IS NOT NULL AND NOT excluded AND (reason = 'fully_exited' OR final)", "credible")}, count(DISTINCT condition) FILTER (need) AS required, count(DISTINCT condition) FILTER (need AND final) AS resolved,
- count(*) FILTER (mixed) AS merge_split, coalesce(count(*) FILTER (mixed AND completed) / nullif(count(*) FILTER (completed), 0), 0) AS share_affected, coalesce(sum(buy + sell + redeem) FILTER (mixed), 0) AS cash_affected, coalesce(sum(capital) FILTER (mixed), 0) AS capital_affected, count(*) FILTER (safe) AS safe, count(*) FILTER (mixed AND NOT safe) AS ambiguous
+ count(*) FILTER (mixed) AS merge_split, coalesce(count(*) FILTER (mixed AND completed) / nullif(count(*) FILTER (completed), 0), 0) AS share_affected, coalesce(({_money("(buy + sell + redeem)")} FILTER (mixed))::DOUBLE, 0) AS cash_affected, coalesce(({_money("capital")} FILTER (mixed))::DOUBLE, 0) AS capital_affected, count(*) FILTER (safe) AS safe, count(*) FILTER (mixed AND NOT safe) AS ambiguous
  FROM (SELECT *, held OR (NOT fully_exited AND shares > 0 AND buy > 0 AND NOT mixed) AS need, mixed AND fully_exited AND buy > 0 AS safe FROM life) GROUP BY wallet),
 n AS (SELECT wallet, count(*) AS raw_events FROM (SELECT wallet FROM a UNION ALL SELECT wallet FROM b) GROUP BY wallet), n2 AS (SELECT wallet, count(*) AS events FROM e GROUP BY wallet),
 j AS (SELECT w.*, {", ".join(f"coalesce({x}, 0)::BIGINT AS {x}" for x in _COUNTS)}, coalesce(resolved / nullif(required, 0), 1) AS coverage, coalesce(share_affected, 0) AS share_affected, coalesce(cash_affected, 0) AS cash_affected, coalesce(capital_affected, 0) AS capital_affected, observed, credible AS cred,
