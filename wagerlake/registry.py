@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wagerlake.sources.carriers import VIEWS
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("pricing", "ledger", "performance", "feed", "clv", "matching", "audits", "streams", "exchange", "ledger_audit", "titles", "reports", "countries", "evidence", "ledger_chain", "paged", "ledger_store", "trade_ev", "mapped_pairs", "mapping", "translate", "stored_record", "structure", "shadow_report")
+PLANS = ("pricing", "ledger", "performance", "feed", "clv", "matching", "audits", "streams", "exchange", "ledger_audit", "titles", "reports", "countries", "evidence", "ledger_chain", "paged", "ledger_store", "trade_ev", "mapped_pairs", "mapping", "translate", "stored_record", "structure", "shadow_report", "anchors")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
