@@ -15,11 +15,11 @@ from wagerlake.sources.shared import shared_folder
 LATE, FLUSH = "30 minutes", "20 seconds"
 
 
-def trades_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the events table as they arrive, a file or a folder of files; the schema is that of the table."""
+def trades_stream(spark: SparkSession, sf_dir: str, files: int = 1000) -> DataFrame:
+    """Rows of the events table as they arrive, a file or a folder of files, files a batch; the schema is that of the table."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return feed_of(spark.readStream.schema(schema).parquet(f"{path}*")).withColumn("at", F.col("at").cast("timestamp"))
+    return feed_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")).withColumn("at", F.col("at").cast("timestamp"))
 
 
 def fresh_trades(stream: DataFrame) -> DataFrame:
@@ -36,10 +36,10 @@ def trending_windows(stream: DataFrame, size: str = "10 minutes") -> DataFrame:
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "venue", "trades")
 
 
-def run_to_end(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def run_to_end(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame], mode: str, files: int = 1000) -> DataFrame:
     """The sink after all that is there now: every micro-batch replaces (complete) or adds to (append) a table in the shared folder."""
     top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    out = step(trades_stream(spark, sf_dir))
+    out = step(trades_stream(spark, sf_dir, files))
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that runs again after a failure overwrites its own folder
