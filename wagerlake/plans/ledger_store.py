@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wagerlake.plans.ledger_chain import _LISTS, _REPLAY, EVENT, POSITION, _lists, _six, episodes, merged, ordered
 from wagerlake.registry import query
-from wagerlake.sources.shared import shared_folder
+from wagerlake.sources.shared import checkpointed, shared_folder
 from wagerlake.sources.versioned import VersionedTable
 from wagerlake.streaming.ledger_stream import keep_replaying, replay_table
 
@@ -62,7 +62,7 @@ class LedgerVersions:
 
     def append(self, novel: DataFrame, batch: int, writer: str = "ledger") -> int:
         """Events (ledger_chain.EVENT) into a next version of all three tables; known keys stay as they are. A batch that broke off is finished, one that is done left out."""
-        novel = novel.select(*EVENT).where("asset <> ''")
+        novel = checkpointed(novel.select(*EVENT).where("asset <> ''"))
         self.events.merge(novel, writer, batch, combine=lambda k: c(f"o.{k}"))
         touched = novel.select(*POSITION).distinct()
         now = ordered(self.events.read().join(touched, [*POSITION], "left_semi"), *POSITION)

@@ -56,6 +56,12 @@ class VersionedTable:
         at = [f"{self.path}/{f}" for b, f in m["folders"].items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
+    @staticmethod
+    def _with_bucket(schema):
+        from pyspark.sql.types import IntegerType, StructField, StructType
+
+        return StructType([*schema.fields, StructField("bucket", IntegerType())])
+
     @staticmethod
     def _schema(m: dict):
         from pyspark.sql.types import StructType
@@ -75,8 +81,9 @@ class VersionedTable:
         if m["writers"].get(writer, -1) >= batch:
             return m["version"]
         schema = self._schema(m) if m["schema"] else updates.schema
-        updates = updates.select(*schema.names)
-        new = updates.withColumn("bucket", self.bucket())
+        incoming = f"{self.path}/incoming/{uuid.uuid4().hex}"  # written once, so that what made the updates doesn't run for their buckets and again for their rows
+        updates.select(*schema.names).withColumn("bucket", self.bucket()).write.parquet(incoming)
+        new = self.spark.read.schema(self._with_bucket(schema)).parquet(incoming)
         touched = new.select("bucket") if replaced is None else new.select("bucket").unionByName(replaced.select(*self.by).withColumn("bucket", self.bucket()).select("bucket"))
         some = sorted(r.bucket for r in touched.distinct().collect())  # at most self.buckets rows
         folders = dict(m["folders"])
@@ -95,7 +102,9 @@ class VersionedTable:
             folders.pop(str(b), None)
             if f"bucket={b}" in written:
                 folders[str(b)] = f"{folder}/bucket={b}"
-        return self._commit({"version": m["version"] + 1, "folders": folders, "writers": m["writers"] | {writer: batch}, "schema": schema.jsonValue()})
+        version = self._commit({"version": m["version"] + 1, "folders": folders, "writers": m["writers"] | {writer: batch}, "schema": schema.jsonValue()})
+        self._fs.delete(self._path(incoming), True)
+        return version
 
     def _commit(self, m: dict) -> int:
         """Writes the manifest under another name and moves it to its own, which fails where that name is taken."""
