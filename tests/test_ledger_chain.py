@@ -164,3 +164,10 @@ def test_audit_of_wallets_with_and_without_events(spark):
 def test_ledgers_without_rows(spark):
     none = spark.createDataFrame([], EVENT)
     assert L.episodes(L.ordered(none, *L.POSITION)).count() == 0 and L.conditions(L.ordered(none, *L.POSITION)).where(F.lit(True)).count() == 0
+
+
+def test_six_decimals_of_ratios_beyond_a_long(spark):
+    """A return on the dust of a capital is larger than a long holds once it is scaled."""
+    x = [1.08987111e16, -5e15, 0.1234565, 2.5e-7, -0.5, 8e9, float("inf"), None]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(L._six(F.col("x")).alias("y")).collect()]
+    assert got[-1] is None and got[:-1] == pytest.approx([1.08987111e16, -5e15, 0.123457, 0.0, -0.5, 8e9, float("inf")], rel=1e-12)

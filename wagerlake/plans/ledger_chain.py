@@ -260,7 +260,9 @@ def chain_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _six(x: Column) -> Column:
-    return F.floor(x * 1_000_000 + 0.5) / 1_000_000
+    """x to six decimals; a double from 2^53 on is whole as it is, and floor's long would stop at 2^63."""
+    y = x * 1_000_000 + 0.5
+    return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y) / 1_000_000
 
 
 _LIFE_OUT = "SELECT * REPLACE (" + ", ".join(f"floor({x} * 1000000 + 0.5) / 1000000 AS {x}" for x in ("shares", "most", "buy", "sell", "redeem", "payout", "capital", "pnl", "roi")) + ") FROM life"
