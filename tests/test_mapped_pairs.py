@@ -67,3 +67,14 @@ def test_last_write_of_a_batch_wins():
     p.init(type("H", (), {"getValueState": lambda s, n, t: None})())
     parts = iter([pd.DataFrame([write("a", 9, 1)], columns=S._NAMES), pd.DataFrame([write("a", 3, 2), write("a", 4, 3)], columns=S._NAMES)])
     assert [tuple(r)[:2] for out in p.handleInputRows(("a",), parts, None) for r in out.itertuples(index=False)] == [("a", 9)]
+
+
+def test_without_an_interval_a_batch_keeps_its_last_writes_and_no_state(spark, tmp_path):
+    top = str(tmp_path)
+    for rows in ([write("a", 1, 10, "c", 4.0), write("a", 2, 20), write("b", 3, 5), write("x", 4, 5, ticker=" ")], [write("a", 5, 30, "e")]):
+        spark.createDataFrame(rows, S.ROW).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    table = VersionedTable(spark, f"{top}/t", ["trade_id"], buckets=2)
+    q = S.keep_storing(spark.readStream.schema(S.ROW).option("maxFilesPerTrigger", 1).parquet(f"{top}/in"), table, f"{top}/cp", interval=0, availableNow=True)
+    q.awaitTermination()
+    assert stored(table) == [("a", 30.0, "e", None, "p2"), ("b", 5.0, None, None, "p3")]
+    assert all(not p["stateOperators"] for p in q.recentProgress)
