@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wagerlake.plans.titles import pick
 from wagerlake.registry import query
-from wagerlake.sources.carriers import table
+from wagerlake.sources.carriers import spread, table
 
 c = F.col
 #: Names and their codes, in the order in which loose matches are tried.
@@ -60,4 +60,4 @@ _SAMPLES = "([" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''")
  (SELECT arg_min(code, i) FROM t WHERE name = k2), (SELECT arg_min(code, i) FROM t WHERE replace(name, ' ', '') = replace(k2, ' ', '')), (SELECT any_value(code) FROM t WHERE code = k2), (SELECT arg_min(code, i) FROM t WHERE contains(k, name) OR contains(name, k)), (SELECT arg_min(code, i) FROM s WHERE contains(k, alias))) AS code FROM p WHERE k <> '')
 SELECT market, code FROM (SELECT p_partkey AS market, {_SAMPLES} AS n FROM part) LEFT JOIN f USING (n)""")
 def country_codes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(c("p_partkey").alias("market"), country_code(pick(NAMES, c("p_partkey"))).alias("code"))
+    return spread(table(spark, d, "part").select("p_partkey"), "p_partkey").select(c("p_partkey").alias("market"), country_code(pick(NAMES, c("p_partkey"))).alias("code"))
