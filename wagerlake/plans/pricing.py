@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wagerlake.functions import prices as P
 from wagerlake.registry import query
-from wagerlake.sources.carriers import books, resolution
+from wagerlake.sources.carriers import books, resolution, spread
 
 c = F.col
 _CLAMP = "least(greatest({}, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE)"
@@ -149,7 +149,7 @@ def poisson_over(spark: SparkSession, d: str) -> DataFrame:
 @query("M34_poisson_rate", "SELECT market, floor(greatest(-ln(1 - p_true), 0.05::DOUBLE) * 10000 + 0.5) / 10000.0::DOUBLE AS rate FROM v_books")
 def poisson_rate(spark: SparkSession, d: str) -> DataFrame:
     """Calibrated rates for one or more events, where the answer is known: -ln(1 - chance), within the bracket."""
-    return books(spark, d).select("market", P.half_up(P.poisson_rate(F.lit(0.5), c("p_true")), 4).alias("rate"))
+    return spread(books(spark, d), "market").select("market", P.half_up(P.poisson_rate(F.lit(0.5), c("p_true")), 4).alias("rate"))
 
 
 @query("M42_M43_logit_and_divergence", f"SELECT market, {r6('1 / (1 + exp(-(ln(p_true / (1 - p_true)) + 1.75::DOUBLE * (bid - 0.5::DOUBLE) * ask2)))')} AS shifted, {r6('0.5::DOUBLE * (p_true * ln(p_true / m) + (1 - p_true) * ln((1 - p_true) / (1 - m))) + 0.5::DOUBLE * (bid * ln(bid / m) + (1 - bid) * ln((1 - bid) / (1 - m)))')} AS divergence FROM (SELECT *, 0.5::DOUBLE * (p_true + bid) AS m FROM v_books)")
