@@ -12,7 +12,7 @@ from wagerlake.functions import prices as P
 from wagerlake.plans.exchange import cross_market_stats
 from wagerlake.plans.performance import RELIABLE, track_record
 from wagerlake.registry import query
-from wagerlake.sources.carriers import books, feed, positions, resolution, table
+from wagerlake.sources.carriers import books, feed, positions, resolution, spread, table
 
 c = F.col
 #: EV above which a strong verdict stays, least stake and EV percent of the feed, largest pull back to the prior.
@@ -134,7 +134,7 @@ def agent_consensus(spark: SparkSession, d: str) -> DataFrame:
         agent(llm | (rel > 0), (m % 21 - 10) / F.lit(10.0), rel, F.when(llm, 1.0).otherwise(0.25)), agent(m % 5 == 0, (m % 7 - 3) / F.lit(10.0), F.lit(0.55), F.lit(BASELINES["weather"])),
         agent(m % 7 == 0, (m % 11 - 5) / F.lit(20.0), F.lit(0.6), F.lit(BASELINES["economic"])), agent(m % 2 == 0, (prior - 0.5) * -0.15, F.lit(0.35), F.lit(BASELINES["market_microstructure"])),
     ))
-    out = books(spark, d).select("market", "p_true", agents.alias("agents")).select("market", F.size("agents").cast("long").alias("n"), consensus(prior, c("agents")).alias("s"))
+    out = spread(books(spark, d), "market").select("market", "p_true", agents.alias("agents")).select("market", F.size("agents").cast("long").alias("n"), consensus(prior, c("agents")).alias("s"))
     return out.select("market", c("n").alias("agents"), *(P.half_up(c(f"s.{x}"), 6).alias(x) for x in ("p_true", "variance", "divergence", "shrinkage", "source_score")))
 
 
