@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wagerlake.plans.countries import COUNTRIES
 from wagerlake.plans.titles import GAME_SLUGS, _pick, parse_slug, pick
 from wagerlake.registry import query
-from wagerlake.sources.carriers import table
+from wagerlake.sources.carriers import spread, table
 
 c = F.col
 #: How titles name two sides, and what makes one a question of who wins.
@@ -141,7 +141,7 @@ SELECT market, coalesce('Backing ' || told, CASE WHEN sold THEN 'sold ' ELSE 'bo
 def plain_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions of made-up bets on the given parts: titles of eight forms around names of the table, slugs, outcomes and ends of all kinds."""
     k = c("p_partkey")
-    p = table(spark, d, "part").select(k, F.get(F.split("p_name", " "), F.lit(0)).alias("n"), c("p_brand").alias("t"))
+    p = spread(table(spark, d, "part"), "p_partkey").select(k, F.get(F.split("p_name", " "), F.lit(0)).alias("n"), c("p_brand").alias("t"))
     form = lambda forms, at: F.replace(F.replace(pick(forms, at), F.lit("{n}"), c("n")), F.lit("{t}"), c("t"))
     half = lambda n: F.floor(k / n).cast("long")
     o = k % 11
