@@ -79,3 +79,14 @@ def test_partitions_are_groups_of_pages():
     reader = pages.PageReader({"root": "r", "users": ",".join(map(str, range(100))), "maxoffset": "1000", "pagesize": "500", "tasks": "3"})
     parts = reader.partitions()
     assert len(parts) == 3 and sum(len(p.pages) for p in parts) == 300 and len({x for p in parts for x in p.pages}) == 300
+
+
+def test_folders_do_not_grow_with_the_users(spark, tmp_path):
+    n, at = 400, str(tmp_path / "pages")
+    rows = spark.range(n * 3).selectExpr("'OPEN' AS list", "concat('u/', id div 3, ' ') AS user", "id % 3 AS pos", "to_json(named_struct('id', id)) AS row", "CASE WHEN id = 4 THEN 'HTTP 500' END AS error")
+    pages.write_pages(rows, at, 2, links=True)
+    assert len(list((tmp_path / "pages" / "list=OPEN").iterdir())) <= pages.BUCKETS * spark.sparkContext.defaultParallelism < n
+    s = pages.cursor_status(pages.read_pages(spark, at, ["OPEN"], mode="cursor", maxPages=4)).collect()
+    assert len({r.user for r in s}) == n and {(r.pages, r.rows, r.error) for r in s} == {(2, 3, None), (1, 0, "HTTP 500")}
+    one = pages.read_pages(spark, at, ["OPEN"], mode="cursor", users="u/7 ,nobody").orderBy("user", "page").collect()
+    assert [(r.user, r.page, r.body) for r in one] == [("nobody", 0, []), ("u/7 ", 0, ['{"id": 21}', '{"id": 22}']), ("u/7 ", 1, ['{"id": 23}'])]

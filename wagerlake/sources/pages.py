@@ -3,15 +3,20 @@
 A list of a user is a sequence of pages, either at offsets or linked by cursors. The source has one row a page, with its JSON rows or its error. Offset pages are
 independent, so any task may read any of them: all offsets up to the cap are asked for, and what lies behind the end of a list is empty. Cursor pages are
 walked, a list in one task. How a page is got is an option, "module:function" of (root, list, user, at) that returns the page's JSON or raises;
-files_page reads folders that Spark has written.
+files_page reads folders that Spark has written. Those are buckets of users, sorted by user, so that their number doesn't grow with the users: a task reads a
+bucket's lines once and holds one user's pages. A folder a user, as others may have written them, is read as well.
 """
 
 from __future__ import annotations
 
+import heapq
 import importlib
+import io
+import itertools
 import json
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -24,6 +29,8 @@ c = F.col
 PAGE, ACTIVITY_ROWS, TRADES_OFFSET, ATTEMPTS = 500, 5_500, 10_000, 3
 #: Most partitions of a read, and pages or lists that one has at least; neighbours, so that a list's folder is read once.
 TASKS, EACH = 2_000, 64
+#: Buckets of a written list for each core.
+BUCKETS = 8
 SCHEMA = "list string, user string, at string, page int, n int, error string, has_more boolean, body array<string>"
 
 
@@ -42,27 +49,51 @@ def _files(path: str):
     return system, [f for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True))]
 
 
+def _lines(folder: str) -> Iterator[dict]:
+    """The lines of a folder's files, those of one user side by side if each file is sorted by user."""
+    system, found = _files(folder)
+
+    def of(path: str) -> Iterator[dict]:
+        with io.TextIOWrapper(io.BufferedReader(system.open_input_stream(path)), "utf-8", newline="\n") as f:
+            yield from (json.loads(line) for line in f if line.strip())
+
+    return heapq.merge(*(of(f.path) for f in found if f.base_name.startswith("part-")), key=lambda p: p.get("user", ""))
+
+
 @lru_cache(maxsize=4)
 def _pages(root: str, kind: str, user: str) -> dict[str, str]:
-    system, found = _files(f"{root}/list={kind}/user={user}")
-    lines = [line for f in found if f.base_name.startswith("part-") for line in system.open_input_stream(f.path).read().decode().splitlines()]
-    return {p["at"]: p["page"] for p in map(json.loads, lines)}
+    names = _buckets(root, kind)
+    if names:
+        at = zlib.crc32(user.encode()) % len(names)
+        return {p["at"]: p["page"] for p in _lines(f"{root}/list={kind}/bucket={at}-of-{len(names)}") if p["user"] == user}
+    return {p["at"]: p["page"] for p in _lines(f"{root}/list={kind}/user={user}")}
 
 
-def files_page(root: str, kind: str, user: str, at: str) -> str:
-    """A page from <root>/list=<list>/user=<user>/part-*, lines of {"at", "page"}; none is the empty page, an object with error is a failure."""
-    page = _pages(root, kind, user).get(at, "[]")
+@lru_cache(maxsize=16)
+def _buckets(root: str, kind: str) -> range:
+    """The buckets that a list was written to; empty ones have no folder."""
+    found = [f.base_name for f in _files(f"{root}/list={kind}")[1] if f.base_name.startswith("bucket=")]
+    return range(int(found[0].split("-of-")[1]) if found else 0)
+
+
+def _said(page: str) -> str:
     said = json.loads(page)
     if isinstance(said, dict) and said.get("error"):
         raise PageError(said["error"], said.get("retry", True))
     return page
 
 
+def files_page(root: str, kind: str, user: str, at: str) -> str:
+    """A page from <root>/list=<list>/bucket=<n>-of-<buckets>/part-*, lines of {"user", "at", "page"} by user, or from user=<user>/part-*; none is the empty page, an object with error is a failure."""
+    return _said(_pages(root, kind, user).get(at, "[]"))
+
+
 @dataclass
 class Pages(InputPartition):
-    """(list, user, offset) of pages, or (list, user, None) of lists to walk."""
+    """(list, user, offset) of pages, or (list, user, None) of lists to walk; (list, folder) of buckets whose users are all read."""
 
     pages: list[tuple[str, str, int | None]]
+    buckets: list[tuple[str, str]] = field(default_factory=list)
 
 
 class PageReader(DataSourceReader):
@@ -79,19 +110,22 @@ class PageReader(DataSourceReader):
             return self.users.split(",")
         return sorted(unquote(f.base_name[5:]) for f in _files(f"{self.root}/list={kind}")[1] if f.base_name.startswith("user="))
 
+    def _offsets(self) -> list[None] | range:
+        return [None] if self.cursors else range(0, self.last + 1, self.size)
+
     def partitions(self) -> list[Pages]:
-        offsets = [None] if self.cursors else range(0, self.last + 1, self.size)
-        every = [(kind, user, at) for kind in self.lists for user in self._of(kind) for at in offsets]
-        tasks = max(1, min(self.tasks, -(-len(every) // EACH)))
-        size = -(-len(every) // tasks)
-        return [Pages(every[i * size : (i + 1) * size]) for i in range(tasks)]
+        cut = lambda every, n: [every[i : i + -(-len(every) // n)] for i in range(0, len(every), -(-len(every) // n))] if every else []
+        stored = [] if self.users else [(kind, f"{self.root}/list={kind}/{f.base_name}") for kind in self.lists for f in _files(f"{self.root}/list={kind}")[1] if f.base_name.startswith("bucket=")]
+        every = [(kind, user, at) for kind in self.lists for user in self._of(kind) for at in self._offsets()]
+        parts = [Pages([], b) for b in cut(stored, self.tasks)] + [Pages(p) for p in cut(every, min(self.tasks, -(-len(every) // EACH)))]
+        return parts or [Pages([])]
 
-    def _page(self, kind: str, user: str, at: str) -> tuple[list | dict, str | None]:
+    def _page(self, kind: str, user: str, at: str, known: dict[str, str] | None = None) -> tuple[list | dict, str | None]:
         module, name = self.getter.split(":")
         get, said = getattr(importlib.import_module(module), name), None
         for _ in range(self.attempts):
             try:
-                return json.loads(get(self.root, kind, user, at)), None
+                return json.loads(get(self.root, kind, user, at) if known is None else _said(known.get(at, "[]"))), None
             except PageError as e:
                 said = str(e)
                 if not e.retry:
@@ -101,21 +135,30 @@ class PageReader(DataSourceReader):
         return [], said or "page failed"
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        text = lambda rows: [json.dumps(r) for r in rows]
         for kind, user, offset in partition.pages:
-            if offset is not None:
-                rows, error = self._page(kind, user, str(offset))
-                rows = rows if isinstance(rows, list) else []
-                yield kind, user, str(offset), offset // self.size, len(rows), error, None, text(rows)
-                continue
-            at, page = "", 0
-            while at is not None and page < self.most:
-                said, error = self._page(kind, user, at)
-                said = said if isinstance(said, dict) else {}
-                rows, more = said.get("data") or [], said.get("pagination") or {}
-                on = more.get("next_cursor") if more.get("has_more") else None
-                yield kind, user, at, page, len(rows), error, bool(on), text(rows)
-                at, page = on or None, page + 1
+            yield from self._read(kind, user, offset)
+        own = self.getter == f"{__name__}:files_page"
+        for kind, folder in partition.buckets:
+            for user, lines in itertools.groupby(_lines(folder), lambda p: p["user"]):
+                known = {p["at"]: p["page"] for p in lines} if own else None
+                for offset in self._offsets():
+                    yield from self._read(kind, user, offset, known)
+
+    def _read(self, kind: str, user: str, offset: int | None, known: dict[str, str] | None = None) -> Iterator[tuple]:
+        text = lambda rows: [json.dumps(r) for r in rows]
+        if offset is not None:
+            rows, error = self._page(kind, user, str(offset), known)
+            rows = rows if isinstance(rows, list) else []
+            yield kind, user, str(offset), offset // self.size, len(rows), error, None, text(rows)
+            return
+        at, page = "", 0
+        while at is not None and page < self.most:
+            said, error = self._page(kind, user, at, known)
+            said = said if isinstance(said, dict) else {}
+            rows, more = said.get("data") or [], said.get("pagination") or {}
+            on = more.get("next_cursor") if more.get("has_more") else None
+            yield kind, user, at, page, len(rows), error, bool(on), text(rows)
+            at, page = on or None, page + 1
 
 
 class PagedSource(DataSource):
@@ -169,7 +212,7 @@ def cursor_status(pages: DataFrame) -> DataFrame:
 
 
 def write_pages(rows: DataFrame, root: str, page_size: int, links: bool = False) -> None:
-    """Rows (list, user, pos, row, error) as the folders that files_page reads; a page with an error says only that. With links, pages name the next one."""
+    """Rows (list, user, pos, row, error) as the buckets that files_page reads; a page with an error says only that. With links, pages name the next one."""
     page = F.floor(c("pos") / page_size).cast("long")
     each = rows.groupBy("list", "user", page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("r"), F.max("error").alias("error"))
     body = F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["row"]), ","), F.lit("]"))
@@ -180,5 +223,7 @@ def write_pages(rows: DataFrame, root: str, page_size: int, links: bool = False)
         body = F.concat(F.lit('{"data":'), body, F.lit(',"pagination":'), more, F.lit("}"))
     body = F.when(c("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(body)
     at = F.when(F.lit(links) & (c("page") == 0), "").otherwise((c("page") * (1 if links else page_size)).cast("string"))
-    lines = each.select("list", "user", F.to_json(F.struct(at.alias("at"), body.alias("page"))).alias("value"))
-    lines.repartition("list", "user").write.partitionBy("list", "user").text(root)
+    n = BUCKETS * rows.sparkSession.sparkContext.defaultParallelism
+    bucket = F.concat((F.crc32(c("user").cast("binary")) % n).cast("string"), F.lit(f"-of-{n}"))
+    lines = each.select("list", bucket.alias("bucket"), "user", "page", F.to_json(F.struct("user", at.alias("at"), body.alias("page"))).alias("value"))
+    lines.repartition("list", "bucket").sortWithinPartitions("list", "bucket", "user", "page").select("list", "bucket", "value").write.partitionBy("list", "bucket").text(root)
