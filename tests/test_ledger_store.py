@@ -145,3 +145,18 @@ def test_a_delta_touches_its_positions_only_and_changed_inputs_are_noticed(spark
     with pytest.raises(ledger_store.InputMismatch, match="2"):
         store.replay(3)
     assert store.replay(3, frozen=False).count() == 3
+
+
+def test_a_stream_kept_in_versions_gives_what_states_give(spark, tmp_path):
+    every = [(i, e.kind, "c", "a", e.ts, e.shares, None, e.cash, e.block, e.tx_index, e.log_index, e.key) for i in range(12) for e in random_events(i, 8)]
+    df = lambda x: spark.createDataFrame(x, EVENT).coalesce(1)
+    for part in (every[::2] + every[:6:2], every[1::2] + every[4:30]):  # repeats in one arrival and in a later one
+        df(part).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df(every[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store, states = ledger_store.LedgerVersions(spark, str(tmp_path / "l"), 2, audited=False), S.replay_table(spark, str(tmp_path / "s"))
+    store.keep(stream(), str(tmp_path / "c1"), availableNow=True).awaitTermination()
+    S.keep_replaying(stream(), states, str(tmp_path / "c2"), availableNow=True).awaitTermination()
+    some = lambda x: rows(x.select("wallet", "asset", "episode", "mixed", "n", "first", "last", "shares", "outlay", "most", "buy", "sell", "redeem"))
+    whole = ledger_chain.episodes(ledger_chain.ordered(df(every), "wallet", "asset")).select("wallet", "asset", "episode", "mixed", "n", "first", "last", "s.*")
+    assert some(store.episodes.read()) == some(states.read()) == some(whole)
+    assert store.events.read().count() == len(every) and store.digests.versions() == []
