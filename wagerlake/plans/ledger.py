@@ -196,11 +196,15 @@ def affected_positions(spark: SparkSession, d: str, since: int = 978307200) -> D
 @query("L16_write_plan", f"""SELECT wallet, asset, CASE WHEN o.buy IS NULL THEN 'insert' WHEN o.buy = n.buy AND o.sell = n.sell THEN 'unchanged' ELSE 'update' END AS action FROM (SELECT wallet, asset, buy, sell FROM ({_POS})) n
  LEFT JOIN (SELECT wallet, asset, sum(CASE WHEN side = 'BUY' THEN cash ELSE 0 END) AS buy, sum(CASE WHEN side = 'BUY' THEN 0 ELSE cash END) AS sell FROM v_trades WHERE ts < 978307200 GROUP BY ALL) o USING (wallet, asset)""")
 def write_plan(spark: SparkSession, d: str, since: int = 978307200) -> DataFrame:
-    t = trades(spark, d)
-    now = replay(t, "wallet", "asset").select("wallet", "asset", "s.buy", "s.sell", "s.redeem")
-    old = replay(t.where(c("ts") < since), "wallet", "asset").select("wallet", "asset", c("s.buy").alias("old_buy"), c("s.sell").alias("old_sell"), c("s.redeem").alias("old_redeem"))
-    action = F.when(c("old_buy").isNull(), "insert").when((c("old_buy") == c("buy")) & (c("old_sell") == c("sell")) & (c("old_redeem") == c("redeem")), "unchanged").otherwise("update")
-    return now.join(old, ["wallet", "asset"], "left").select("wallet", "asset", action.alias("action"))
+    return planned(trades(spark, d), since)
+
+
+def planned(t: DataFrame, since: int) -> DataFrame:
+    """insert, unchanged or update for each position: what all its events give against what those before since give, both from one gathering of the events."""
+    e = events_of(t, "wallet", "asset").withColumn("before", F.filter("events", lambda x: x["ts"] < since))
+    e = e.select("wallet", "asset", F.size("before").alias("stored"), F.aggregate("before", empty(), applied).alias("o"), F.aggregate("events", empty(), applied).alias("s"))
+    same = (c("o.buy") == c("s.buy")) & (c("o.sell") == c("s.sell")) & (c("o.redeem") == c("s.redeem"))
+    return e.select("wallet", "asset", F.when(c("stored") == 0, "insert").when(same, "unchanged").otherwise("update").alias("action"))
 
 
 @query("L18_parity", f"SELECT count(*) AS positions, count(*) FILTER (a.buy = b.buy AND a.sell = b.sell) AS equal, count(*) FILTER (a.wallet IS NULL OR b.wallet IS NULL) AS missing FROM ({_POS}) a FULL JOIN (SELECT * FROM ({_POS}) WHERE wallet % 10 <> 0) b ON a.wallet = b.wallet AND a.asset = b.asset")
