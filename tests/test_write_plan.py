@@ -1,6 +1,6 @@
-"""The write plan of positions gathers their events once."""
+"""Plans that read, gather or deal the events once."""
 
-from wagerlake.plans import ledger
+from wagerlake.plans import ledger, titles
 
 
 def test_a_plan_gathers_the_events_once(spark):
@@ -10,3 +10,9 @@ def test_a_plan_gathers_the_events_once(spark):
     assert {r.wallet: r.action for r in plan.collect()} == {1: "unchanged", 2: "update", 3: "insert", 4: "unchanged", 5: "update", 6: "update"}
     whole = ledger.write_plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert whole.count("Relation [") == 2
+
+
+def test_hints_deal_the_events_once_and_do_not_expand_them(spark):
+    q = titles.event_hints(spark, "/root/testdata/sf0.001")
+    assert "Expand" not in q._jdf.queryExecution().optimizedPlan().toString()
+    assert q.rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism

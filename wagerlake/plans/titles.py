@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wagerlake.registry import query
-from wagerlake.sources.carriers import table, trades
+from wagerlake.sources.carriers import spread, table, trades
 
 c = F.col
 #: Words that name a category, in the order in which categories are tried.
@@ -208,5 +208,9 @@ def lookup_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("F24_event_hints", "SELECT condition, count(DISTINCT asset) AS assets, count(DISTINCT ts // 31536000) AS years, min(asset) AS first_asset FROM v_trades GROUP BY condition")
 def event_hints(spark: SparkSession, d: str) -> DataFrame:
-    """What is known of a condition from its events; distinct values are counted, not gathered."""
-    return trades(spark, d).groupBy("condition").agg(F.count_distinct("asset").alias("assets"), F.count_distinct(F.floor(c("ts") / 31_536_000)).alias("years"), F.min("asset").alias("first_asset"))
+    """What is known of a condition from its events; distinct values are counted, not gathered, by tasks that each have a share of the conditions."""
+    t = trades(spark, d).select("condition", "asset", F.floor(c("ts") / 31_536_000).alias("year"))
+    each = spread(t, "condition", 16).distinct()  # dealt once: what follows stays in its task
+    new = lambda x, by: (F.row_number().over(Window.partitionBy("condition", x).orderBy(by)) == 1) & c(x).isNotNull()
+    each = each.select("condition", "asset", new("asset", "year").alias("new_asset"), new("year", "asset").alias("new_year"))
+    return each.groupBy("condition").agg(F.count_if("new_asset").alias("assets"), F.count_if("new_year").alias("years"), F.min("asset").alias("first_asset"))
