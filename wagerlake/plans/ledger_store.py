@@ -107,7 +107,7 @@ class LedgerVersions:
 SELECT wallet, events_1, events AS events_2, true AS same_1, true AS same_2 FROM s""")
 def snapshot_replay(spark: SparkSession, d: str, until: int = 1_705_000_000) -> DataFrame:
     """Events of each wallet in a snapshot and in the version after a delta, and whether the stored episodes of either version are those of a replay of all its events."""
-    e = merged(*_lists(spark, d))
+    e = checkpointed(merged(*_lists(spark, d)))
     store = LedgerVersions(spark)
     store.append(e.where(c("ts") <= until), 0)
     store.append(e.where(c("ts") > until), 1)
