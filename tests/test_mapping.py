@@ -4,8 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wagerlake.plans import mapping as M
+from wagerlake.plans import matching as T
+from wagerlake.plans.reports import by_tokens
 
 MARKET = "side int, id long, label string, v array<double>, words array<string>, numbers array<string>, period string"
 
@@ -65,3 +68,68 @@ def test_empty_catalogues_leave_the_structural_pairs(spark):
     none = spark.createDataFrame([], MARKET)
     assert M.mapped(none).collect() == []
     assert [tuple(r) for r in M.mapped(none, spark.createDataFrame([(1, 2, 0.8)], "a long, b long, score double")).collect()] == [(1, 2, 0.8, "deterministic", None)]
+
+
+def by_turns(spark, links, members, monkeypatch, ahead):
+    """matched() with nothing left to the driver, and how many tables it wrote."""
+    written, write = [], T.checkpointed
+    monkeypatch.setattr(T, "REST", 0)
+    monkeypatch.setattr(T, "AHEAD", ahead, raising=False)
+    monkeypatch.setattr(T, "checkpointed", lambda df: written.append(1) or write(df))
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    left, right = (frame([(k, i) for side, k, i in members if side == n], f"{k} long, {i} long") for n, k, i in ((0, "p", "a"), (1, "q", "b")))
+    got = T.matched(frame(links, "p long, q long, score double"), left, right)
+    return sorted(map(tuple, got.collect())), len(written)
+
+
+def one_by_one(links, members):
+    of = {n: {k: sorted(i for s, x, i in members if (s, x) == (n, k)) for k in {x for s, x, _ in members if s == n}} for n in (0, 1)}
+    used, out = set(), []
+    for s, a, b in sorted((-s, a, b) for p, q, s in links for a in of[0][p] for b in of[1][q]):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            out.append((a, b, -s))
+    return sorted(out)
+
+
+def test_near_copies_with_equal_scores_are_no_chain_of_rounds(spark, monkeypatch):
+    links, members = [(p, q, 0.85) for p in range(30) for q in range(30)], [(side, k, 2 * k + side) for side in (0, 1) for k in range(30)]
+    got, written = by_turns(spark, links, members, monkeypatch, 1_000_000)
+    assert got == one_by_one(links, members) and written <= 20
+
+
+@pytest.mark.parametrize("ahead", [0, 12])
+def test_first_links_of_any_number_give_the_same_pairs(spark, monkeypatch, ahead):
+    rnd = random.Random(ahead)
+    ids = rnd.sample(range(1000), 20)
+    members = [(side, rnd.randrange(6), ids.pop()) for side in (0, 1) for _ in range(10)]
+    some = [sorted({k for s, k, _ in members if s == n}) for n in (0, 1)]
+    links = [(p, q, rnd.choice([0.9, 0.9, 0.85, 0.7, 0.7001, 0.70015])) for p in some[0] for q in some[1] if rnd.random() < 0.7]
+    assert by_turns(spark, links, members, monkeypatch, ahead)[0] == one_by_one(links, members)
+
+
+def test_mapping_in_small_tiles(spark, rows, monkeypatch):
+    monkeypatch.setattr(T, "TILE", 7)
+    got = M.mapped(spark.createDataFrame(rows, MARKET))
+    assert sorted((r.a, r.b, round(r.score, 4), r.method, r["round"]) for r in got.collect()) == [(a, b, round(s, 4), m, t) for a, b, s, m, t in plain(rows, [])]
+
+
+def test_tiles_give_only_pairs_that_tokens_can_raise(spark, monkeypatch):
+    rng, written, write = np.random.default_rng(1), [], M.checkpointed
+    monkeypatch.setattr(M, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(T, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    rows = [(i % 2, i, "x", [1.0, *map(float, rng.normal(size=3))], [f"w{i}"], [str(i)], "q") for i in range(200)]
+    M.mapped(spark.createDataFrame(rows, MARKET))
+    most = max(t.count() for t in written if {"p", "q"} <= set(t.columns))
+    assert most <= sum(np.dot(x[3], y[3]) / np.linalg.norm(x[3]) / np.linalg.norm(y[3]) >= 0.5198 for x in rows[::2] for y in rows[1::2])
+
+
+def test_reach_is_no_less_than_the_token_rules(spark):
+    rnd = random.Random(2)
+    kinds = {"team:a": 1, "team:b": 1, "world_cup": 2, "nfl": 3, "btc": 4, "fed": 5, "k": 6, "m": 6}
+    cases = [(rnd.randrange(27, 100) / 100, rnd.sample(["1", "2"], rnd.randint(0, 2)), rnd.sample(list(kinds), rnd.randint(0, 4)), rnd.random() < 0.5) for _ in range(1500)]
+    said = spark.createDataFrame(cases, "raw double, n array<string>, w array<string>, same boolean").select(by_tokens(F.col("raw"), F.col("n"), F.col("w"), F.col("same"))["adjusted"])
+    code = lambda xs, f: np.array([[f(x) for x in c] + [0] * (4 - len(c)) for c in xs])
+    words = code([c[2] for c in cases], lambda x: 8 * (1 + list(kinds).index(x)) + kinds[x])
+    most = M.reach(np.array([c[0] for c in cases]), words, code([c[1] for c in cases], int), np.array([c[3] for c in cases]))
+    assert all(min(1, m) >= r[0] - 1e-12 for m, r in zip(most, said.collect()))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wagerlake.plans.matching import links, matched
-from wagerlake.plans.reports import BOOST, by_tokens
+from wagerlake.plans.matching import matched, near, tiles
+from wagerlake.plans.reports import BOOST, BY_TOKENS, COINS, LEAGUES, MACRO, by_tokens
 from wagerlake.registry import query
 from wagerlake.sources.carriers import table
 from wagerlake.sources.shared import checkpointed
@@ -25,15 +29,59 @@ def classes(markets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(each.select("digest", "key"), "digest").select("side", "key", "id"), each
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of i and j: the codes, a row a pair, of x[i] that stand in y[j] too, 0 where one doesn't."""
+
+    def table_of(z: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(z), max(1, max(map(len, z)))), np.int64)
+        for k, codes in enumerate(z):
+            out[k, : len(codes)] = codes
+        return out
+
+    a, b = table_of(x), table_of(y)
+
+    def of(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        u, v = a[i], b[j]
+        return np.where(np.logical_or.reduce([u == v[:, [n]] for n in range(v.shape[1])]), u, 0)
+
+    return of
+
+
+def reach(raw: np.ndarray, words: np.ndarray, numbers: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """At least what by_tokens makes of raw, from codes that two markets share: the most of the steps that hold, not the first."""
+    kind = lambda n: ((words != 0) & (words & 7 == n)).sum(axis=1)
+    k, n, teams, cup, coins, macro = (words != 0).sum(axis=1), (numbers != 0).any(axis=1), kind(1), kind(2), kind(4), kind(5)
+    leagues = cup + kind(3)
+    sure = ((teams >= 2) & (n | (cup > 0))) | ((leagues + teams >= 2) & n) | (same & n & (k >= 1))
+    most = raw + BOOST * np.select([(coins > 0) & (raw >= 0.55), ((leagues > 0) | (teams >= 2)) & (raw >= 0.52) | (macro > 0) & (raw >= 0.6), k >= 2], [1, 0.75, 0.5], 0)
+    return np.where(sure, np.maximum(raw + BOOST, BY_TOKENS), most)
+
+
 def scored(each: DataFrame, least: float) -> DataFrame:
     """p, q, raw, score, method of the classes of both sides that share a label, from least up after what their tokens add.
 
     All classes of a label are compared, in tiles, so pairs are exact and work is quadratic in the classes of a label; pairs whose cosine is more than the largest boost below least
-    are left to the structural ones.
+    are left to the structural ones. A tile's pairs leave it only if tokens can raise them to least: codes of tokens are compared there, and by_tokens has the last word on those few.
     """
-    met = links(each.select("side", "label", "key", "least", "v"), least - BOOST).drop("b").withColumnRenamed("score", "raw")
+    # Equal tokens have equal codes, never 0; the last three bits of a word's code are its kind.
+    kind = lambda w: F.when(w.startswith("team:"), 1).when(w == "world_cup", 2).when(w.isin(*LEAGUES), 3).when(w.isin(*COINS), 4).when(w.isin(*MACRO), 5).otherwise(6)
+    codes = lambda x, f: F.coalesce(F.transform(x, f), F.array().cast("array<long>")).alias(x)
+    word = lambda w: F.shiftleft(F.xxhash64(w), 3).bitwiseOR(kind(w).cast("long"))
+    period = F.when(c("period").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("period").bitwiseOR(F.lit(1).cast("long"))).alias("period")
+    coded = each.select("side", "label", "key", "v", codes("words", word), codes("numbers", lambda x: F.xxhash64(x).bitwiseOR(F.lit(1).cast("long"))), period)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                words, numbers = shared(r.words_a, r.words_b), shared(r.numbers_a, r.numbers_b)
+                for i, j, raw in near(r.v_a, r.v_b, least - BOOST):
+                    same = (r.period_a[i] == r.period_b[j]) & (r.period_a[i] != 0)
+                    ok = reach(raw, words(i, j), numbers(i, j), same) >= least - 1e-4
+                    yield pd.DataFrame({"p": r.key_a[i[ok]], "q": r.key_b[j[ok]], "raw": raw[ok]})
+
+    met = tiles(coded, "key", "v", "words", "numbers", "period").mapInPandas(compare, "p long, q long, raw double")
     side = lambda n, k: each.where(c("side") == n).select(c("key").alias(k), *(c(x).alias(f"{x}_{k}") for x in ("words", "numbers", "period")))
-    met = met.join(side(0, "p"), "p").join(side(1, "q"), "q")
+    met = checkpointed(met).join(side(0, "p"), "p").join(side(1, "q"), "q")
     said = by_tokens(c("raw"), F.array_intersect("numbers_p", "numbers_q"), F.array_intersect("words_p", "words_q"), F.coalesce(c("period_p") == c("period_q"), F.lit(False)))
     return met.withColumn("s", said).select("p", "q", "raw", F.floor(c("s.adjusted") * 10_000 + 0.5).alias("score") / 10_000, c("s.method").alias("method")).toDF("p", "q", "raw", "score", "method").where(c("score") >= least)
 
@@ -49,7 +97,7 @@ def mapped(markets: DataFrame, structural: DataFrame | None = None, rounds: tupl
     members, each = classes(markets)
     pairs = checkpointed(scored(each, least))
     side = lambda n, k, i: members.where(c("side") == n).select(c("key").alias(k), c("id").alias(i))
-    taken = matched(pairs.select("p", "q", "score"), side(0, "p", "a"), side(1, "q", "b"))
+    taken = matched(pairs.select("p", "q", "score"), side(0, "p", "a"), side(1, "q", "b"), each.where("side = 0").select(c("key").alias("p"), c("label").alias("g")))
     how = pairs.select("p", "q", "method").join(side(0, "p", "a"), "p").join(taken.select("a", "b"), "a").join(side(1, "q", "b"), ["q", "b"]).select("a", "b", "method")
     first = F.coalesce(*(F.when(c("score") >= t, F.lit(t)) for t in rounds))
     out = taken.join(how, ["a", "b"]).select("a", "b", "score", "method", first.alias("round"))

@@ -17,8 +17,9 @@ from wagerlake.sources.carriers import table, trades
 from wagerlake.sources.shared import checkpointed
 
 c = F.col
-#: Classes of equal vectors in a tile; open links and members that the driver matches one by one.
-TILE, REST = 512, 20_000
+#: Classes and components of vectors in a tile, rows compared at a time; open links and members that the driver matches one by one, and links that a task does, in how many parts it cuts ties.
+TILE, CELLS, ROWS = 2048, 1 << 17, 256
+REST, AHEAD, STEPS = 20_000, 1_000_000, 256
 
 
 def catalogues(e: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,30 +46,65 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.floor(out * 10_000 + 0.5) / 10_000
 
 
+def near(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j, score of cosines() from least up, some rows at a time."""
+    if least <= 0:
+        for at in range(0, len(x), ROWS):
+            s = cosines(x[at : at + ROWS], y)
+            i, j = np.nonzero(s >= least)
+            yield at + i, j, s[i, j]
+        return
+    nx, ny = (np.fromiter(map(len, z), np.int64, len(z)) for z in (x, y))
+    for n in np.intersect1d(nx[nx > 0], ny):
+        i, j = np.flatnonzero(nx == n), np.flatnonzero(ny == n)
+        a, b = np.stack(x[i]), np.stack(y[j])
+        la, lb = (np.sqrt(np.einsum("ij,ij->i", z, z)) for z in (a, b))
+        for at in range(0, len(i), ROWS):
+            size = np.outer(la[at : at + ROWS], lb)
+            s = np.divide(a[at : at + ROWS] @ b.T, size, out=np.zeros_like(size), where=True if size.all() else size > 0)
+            k, m = np.nonzero(s >= least - 1e-4)
+            t = np.floor(s[k, m] * 10_000 + 0.5) / 10_000
+            k, m, t = k[t >= least], m[t >= least], t[t >= least]
+            yield i[at + k], j[m], t
+
+
+def best(x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j, score of each row's best of cosines(), of equal ones that with the smallest of ids, some rows at a time."""
+    for at in range(0, len(x), ROWS):
+        s = cosines(x[at : at + ROWS], y)
+        i = np.arange(len(s))
+        j = np.where(s == s.max(axis=1, keepdims=True), ids, np.iinfo(np.int64).max).argmin(axis=1)
+        yield at + i, j, s[i, j]
+
+
+def tiles(each: DataFrame, *columns: str) -> DataFrame:
+    """Salted tiles of the classes of side 0 with those of side 1 that share their label, a row a pair of tiles: the columns of both, as arrays, named _a and _b."""
+    split = each.groupBy("side", "label").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.size("v")) / CELLS, F.lit(1))).alias("splits"))
+    many = lambda n, k: split.where(c("side") == n).select("label", c("n").alias(f"n{k}"), c("splits").alias(f"s{k}"))
+    both = checkpointed(many(0, "a").join(many(1, "b"), "label"))
+    pairs, cells = both.agg(F.sum(c("sa") * c("sb")), F.sum(c("na").cast("double") * c("nb"))).first()
+    parts = int(max(1, min(pairs or 0, max((pairs or 0) // 64, (cells or 0) // (1 << 20)))))
+    tile = lambda k: F.pmod(F.xxhash64("key"), c(f"s{k}")).alias(f"t{k}")
+
+    def side(n: int, k: str, o: str) -> DataFrame:
+        rows = each.where(c("side") == n).join(both, "label").groupBy("label", tile(k), f"s{o}").agg(F.collect_list(F.struct(*columns)).alias("x"))
+        rows = rows.withColumn(f"t{o}", F.explode(F.sequence(F.lit(0).cast("long"), c(f"s{o}").cast("long") - 1)))
+        return rows.select("label", "ta", "tb", *(c(f"x.{m}").alias(f"{m}_{k}") for m in columns)).repartition(parts, "label", "ta", "tb")
+
+    return side(0, "a", "b").hint("merge").join(side(1, "b", "a"), ["label", "ta", "tb"])
+
+
 def links(each: DataFrame, least: float | None) -> DataFrame:
     """p, q, score of the classes of both sides that share a label, compared in salted tiles: those from least up, or each p's best,
     of equal ones that with the smallest id."""
-    split = each.groupBy("side", "label").agg(F.ceil(F.count("*") / TILE).alias("splits"))
-    tile = F.pmod(F.xxhash64("key"), c("splits")).alias("tile")
-    tiles = each.join(split, ["side", "label"]).groupBy("side", "label", tile).agg(F.collect_list(F.struct("key", "least", "v")).alias("x"))
-    tiles = checkpointed(tiles.select("side", "label", "tile", "x.key", "x.least", "x.v"))
-    side = lambda n, k, *more: tiles.where(c("side") == n).select("label", c("tile").alias(f"t{k}"), *(c(m).alias(f"{m}_{k}") for m in more))
-    met = checkpointed(side(0, "a").join(side(1, "b"), "label"))
-    parts = max(1, met.count() // 64)
-    met = met.join(side(0, "a", "key", "v"), ["label", "ta"]).join(side(1, "b", "key", "least", "v"), ["label", "tb"]).repartition(parts, "label", "ta", "tb")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                s = cosines(r.v_a, r.v_b)
-                if least is None:
-                    i = np.arange(len(s))
-                    j = np.where(s == s.max(axis=1, keepdims=True), r.least_b, np.iinfo(np.int64).max).argmin(axis=1)
-                else:
-                    i, j = np.nonzero(s >= least)
-                yield pd.DataFrame({"p": r.key_a[i], "q": r.key_b[j], "score": s[i, j], "b": r.least_b[j]})
+                for i, j, s in best(r.v_a, r.v_b, r.least_b) if least is None else near(r.v_a, r.v_b, least):
+                    yield pd.DataFrame({"p": r.key_a[i], "q": r.key_b[j], "score": s, "b": r.least_b[j]})
 
-    return checkpointed(met.mapInPandas(compare, "p long, q long, score double, b long"))
+    return checkpointed(tiles(each, "key", "least", "v").mapInPandas(compare, "p long, q long, score double, b long"))
 
 
 def pairs_of(e: DataFrame, least: float) -> DataFrame:
@@ -103,48 +139,89 @@ def best_of(e: DataFrame) -> DataFrame:
     return left.join(best, "p").groupBy("a").agg(F.max_by("b", order).alias("b"), F.max("score").alias("score"))
 
 
-def matched(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def matched(links: DataFrame, left: DataFrame, right: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Greedy one-to-one assignment (a, b, score) by (score, a, b) between classes whose members have the same scores.
 
-    links (p, q, score) are one row a pair of classes; left (p, a) and right (q, b) have every id once. A class gives its members away
-    in ascending order. Each round takes, of two classes that are each other's best, the k-th smallest a with the k-th smallest b as
-    long as neither has an equally good class with a smaller member, so copies cost no rounds of their own. Rounds go on until no
-    link between open members is left; once links and members are few enough, the driver takes the rest one by one.
+    links (p, q, score) are one row a pair of classes; left (p, a) and right (q, b) have every id once; groups (p, g) parts the classes so that no link of one meets a class of
+    another. A class gives its members away in ascending order. By turns, each group's best links are matched one by one in a task (ahead), and a round takes mutual best pairs,
+    until no link between open members is left; once links and members are few enough, the driver takes the rest one by one.
     """
-    done = None
+    done, tasks = None, True
+    if groups is not None:
+        links = links.join(groups, "p")
     while True:
         links = checkpointed(links.join(left.select("p").distinct(), "p", "left_semi").join(right.select("q").distinct(), "q", "left_semi"))
         left, right = (checkpointed(x.join(links.select(k).distinct(), k, "left_semi")) for x, k in ((left, "p"), (right, "q")))
         if links.count() + left.count() + right.count() <= REST:
-            rest = left.sparkSession.createDataFrame(greedy(links, left, right), f"a {left.schema['a'].dataType.simpleString()}, b {right.schema['b'].dataType.simpleString()}, score double")
+            rows = [x.toPandas() for x in (links.select("p", "q", "score"), left.select("p", "a"), right.select("q", "b"))]
+            rest = left.sparkSession.createDataFrame(greedy(*rows), types(left, right))
             return rest if done is None else done.unionByName(rest)
-        met = links.join(left.groupBy("p").agg(F.min("a").alias("a0")), "p").join(right.groupBy("q").agg(F.min("b").alias("b0")), "q")
-        for k, head in (("p", "b0"), ("q", "a0")):
-            w = Window.partitionBy(k).orderBy(F.desc("score"), head)
-            met = met.withColumn(f"r_{k}", F.row_number().over(w)).withColumn(f"end_{k}", F.when(F.lead("score").over(w) == c("score"), F.lead(head).over(w)))
-        runs = met.where("r_p = 1 and r_q = 1").select("p", "q", "score", "end_p", "end_q")
-        nth = lambda x, k, i: x.withColumn("n", F.row_number().over(Window.partitionBy(k).orderBy(i)))
-        taken = nth(left, "p", "a").join(runs, "p").join(nth(right, "q", "b"), ["q", "n"])
-        taken = checkpointed(taken.where("(end_p is null or b < end_p) and (end_q is null or a < end_q)").select("a", "b", "score"))
+        taken = checkpointed((ahead if tasks else mutual)(links, left, right))
         done = taken if done is None else done.unionByName(taken)
-        left, right = left.join(taken.select("a"), "a", "left_anti"), right.join(taken.select("b"), "b", "left_anti")
+        left, right, tasks = left.join(taken.select("a"), "a", "left_anti"), right.join(taken.select("b"), "b", "left_anti"), not tasks
 
 
-def greedy(links: DataFrame, left: DataFrame, right: DataFrame) -> list[tuple]:
-    """matched() one by one on the driver."""
+def types(left: DataFrame, right: DataFrame) -> str:
+    return f"a {left.schema['a'].dataType.simpleString()}, b {right.schema['b'].dataType.simpleString()}, score double"
+
+
+def mutual(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """A round: of two classes that are each other's best, the k-th smallest a with the k-th smallest b as long as neither has an equally good class with a smaller member,
+    so copies cost no rounds of their own."""
+    met = links.select("p", "q", "score").join(left.groupBy("p").agg(F.min("a").alias("a0")), "p").join(right.groupBy("q").agg(F.min("b").alias("b0")), "q")
+    for k, head in (("p", "b0"), ("q", "a0")):
+        w = Window.partitionBy(k).orderBy(F.desc("score"), head)
+        met = met.withColumn(f"r_{k}", F.row_number().over(w)).withColumn(f"end_{k}", F.when(F.lead("score").over(w) == c("score"), F.lead(head).over(w)))
+    runs = met.where("r_p = 1 and r_q = 1").select("p", "q", "score", "end_p", "end_q")
+    nth = lambda x, k, i: x.withColumn("n", F.row_number().over(Window.partitionBy(k).orderBy(i)))
+    taken = nth(left, "p", "a").join(runs, "p").join(nth(right, "q", "b"), ["q", "n"])
+    return taken.where("(end_p is null or b < end_p) and (end_q is null or a < end_q)").select("a", "b", "score")
+
+
+def ahead(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """What greedy takes of each group's first links in the order of (score, a, b), as many as a task holds: whole scores as far as they go, else the smallest a of the best score.
+
+    Near copies whose scores are equal are a chain of as many rounds as pairs, and no round here. A group with too many members to its first links is left to the rounds.
+    """
+    links = links.withColumn("g", c("g") if "g" in links.columns else F.lit(0)).withColumn("bin", F.floor(c("score") * 10_000))
+    bins = links.groupBy("g", "bin").agg(F.count("*").alias("n"), (F.min("score") == F.max("score")).alias("one"))
+    falling = Window.partitionBy("g").orderBy(F.desc("bin"))
+    bins = bins.withColumn("upto", F.sum("n").over(falling)).withColumn("r", F.row_number().over(falling))
+    top = lambda x: F.max(F.when(c("r") == 1, c(x))).alias(x)
+    cut = checkpointed(bins.where((c("r") == 1) | (c("upto") <= AHEAD)).groupBy("g").agg(F.min("bin").alias("from"), top("n"), top("one")).where(c("one") | (c("n") <= AHEAD)))
+    first = checkpointed(links.join(cut, "g").where("bin >= from").select("g", "p", "q", "score", "n"))
+    # Of a best score that is too much for a task, the links of the smallest a; a group without such a part waits for a round.
+    heads = first.where(c("n") > AHEAD).join(left.groupBy("p").agg(F.min("a").alias("a0")), "p")
+    over = heads.groupBy("g", "n").agg(F.percentile_approx("a0", [k / STEPS for k in range(1, STEPS)], 100 * STEPS).alias("at"))
+    until = checkpointed(over.select("g", F.when(c("n") <= STEPS * AHEAD, F.get("at", F.floor(F.lit(STEPS * AHEAD) / c("n")).cast("int") - 1)).alias("until")))
+    first = first.join(until, "g", "left").where((c("n") <= AHEAD) | c("until").isNotNull())
+    mine = first.select("g", "p", "until").distinct().join(left, "p").where("until is null or a < until").select("g", F.lit(0).alias("side"), c("p").alias("k"), c("a").alias("i"))
+    other = first.join(mine.select(c("k").alias("p")).distinct(), "p", "left_semi").select("g", "q").distinct().join(right, "q").select("g", F.lit(1).alias("side"), c("q").alias("k"), c("b").alias("i"))
+    members = checkpointed(mine.unionByName(other))
+    small = members.groupBy("g").agg(F.count("*").alias("m")).where(c("m") <= 2 * AHEAD).select("g")
+    pick = first.join(small, "g", "left_semi").join(members.where("side = 0").select(c("k").alias("p")).distinct(), "p", "left_semi").select("g", "p", "q", "score")
+
+    def one_by_one(x: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        side = lambda n, k, i: m[m["side"] == n][["k", "i"]].set_axis([k, i], axis=1)
+        return pd.DataFrame(greedy(x[["p", "q", "score"]], side(0, "p", "a"), side(1, "q", "b")), columns=["a", "b", "score"])
+
+    return pick.groupBy("g").cogroup(members.join(small, "g", "left_semi").groupBy("g")).applyInPandas(one_by_one, types(left, right))
+
+
+def greedy(links: pd.DataFrame, left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
+    """matched() one by one, in memory."""
     a_of, b_of = defaultdict(list), defaultdict(list)
-    for k, x in left.select("p", "a").collect():
-        a_of[k].append(x)
-    for k, x in right.select("q", "b").collect():
-        b_of[k].append(x)
+    for of, rows in ((a_of, left), (b_of, right)):
+        for k, x in zip(*(rows[n].tolist() for n in rows.columns)):
+            of[k].append(x)
     for ids in (*a_of.values(), *b_of.values()):
         ids.sort(reverse=True)
     out = []
-    rows = sorted(links.select("score", "p", "q").collect(), key=lambda r: -r.score)
-    for score, level in itertools.groupby(rows, lambda r: r.score):
+    rows = links.sort_values("score", ascending=False)
+    for score, level in itertools.groupby(zip(rows["score"].tolist(), rows["p"].tolist(), rows["q"].tolist()), lambda r: r[0]):
         to = defaultdict(list)
-        for r in level:
-            to[r.p].append(r.q)
+        for _, p, q in level:
+            to[p].append(q)
         heads = [(a_of[p][-1], p) for p in to if a_of[p]]
         heapq.heapify(heads)
         while heads:
