@@ -133,3 +133,36 @@ def test_reach_is_no_less_than_the_token_rules(spark):
     words = code([c[2] for c in cases], lambda x: 8 * (1 + list(kinds).index(x)) + kinds[x])
     most = M.reach(np.array([c[0] for c in cases]), words, code([c[1] for c in cases], int), np.array([c[3] for c in cases]))
     assert all(min(1, m) >= r[0] - 1e-12 for m, r in zip(most, said.collect()))
+
+
+def plain_whole(rows, rounds=M.ROUNDS):
+    """plain() without structural pairs, where tokens pair two markets whatever their cosine."""
+    half, pairs, used, out = lambda x: float(np.floor(x * 10_000 + 0.5) / 10_000), [], set(), []
+    for x in (r for r in rows if r[0] == 0 and r[2]):
+        for y in (r for r in rows if r[0] == 1 and r[2] == x[2]):
+            raw = half(np.dot(x[3], y[3]) / np.linalg.norm(x[3]) / np.linalg.norm(y[3])) if x[3] and y[3] else 0.0
+            s, how = adjusted(raw, set(x[4]) & set(y[4]), set(x[5]) & set(y[5]), x[6] is not None and x[6] == y[6])
+            pairs.append((-half(s), x[1], y[1], how))
+    for s, a, b, how in sorted(p for p in pairs if -p[0] >= rounds[-1]):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            out.append((a, b, -s, how, next(t for t in rounds if -s >= t)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rest", [0, 20_000])
+def test_tokens_pair_markets_whatever_their_cosine(spark, rows, monkeypatch, rest):
+    monkeypatch.setattr(T, "REST", rest)
+    # a vector that is missing, and pairs of just 0.85 by their cosines or two words, beside those of 0.85 by tokens
+    b, d = [0.7250, float(np.sqrt(1 - 0.7250**2))], [0.8500, float(np.sqrt(1 - 0.8500**2))]
+    more = [(0, 201, "x", None, ["btc"], ["1"], "q1"), (1, 200, "x", [1.0] * 8, ["btc", "k"], ["1", "2"], "q1"), (0, 202, "x", [0.0] * 7 + [1.0], ["btc"], ["2"], "q1")]
+    more += [(0, 300, "z", [1.0, 0.0], ["k", "m"], ["1"], None), (1, 301, "z", b, ["k", "m"], ["1"], "q1"), (1, 302, "z", d, [], [], None), (0, 303, "z", [-1.0, 0.0], ["k"], ["1"], "q1"), (0, 299, "z", [0.0, -1.0], ["m"], ["1"], "q1"), (1, 298, "z", [0.0, -1.0], ["w"], ["1"], "q1")]
+    got = M.mapped(spark.createDataFrame([*rows, *more], MARKET), whole=True)
+    want = plain_whole([*rows, *more])
+    assert sorted((r.a, r.b, round(r.score, 4), r.method, r["round"]) for r in got.collect()) == [(a, b, round(s, 4), m, t) for a, b, s, m, t in want]
+    assert len({(a, b) for a, b, s, *_ in want if s == 0.85}) > 3
+
+
+def test_query_maps_unlike_vectors_with_equal_tokens(spark, tmp_path):
+    spark.createDataFrame([(2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 1), (61, [-1.0, 0.0], 1), (9, [-1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r.a, r.b, r.score, r.method) for r in M.market_mapping(spark, str(tmp_path)).collect()) == [(2, 3, 0.85, "token_heuristic"), (4, 61, 0.85, "token_heuristic")]
