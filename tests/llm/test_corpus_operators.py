@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +493,32 @@ def test_equal_suffixes_are_found_by_their_bytes():
         want[buf[i : i + 7].tobytes()].append(i)
     assert sorted(got) == sorted(x for x in want.values() if len(x) > 1)
     assert [buf[x[0] : x[0] + 7].tobytes() for x in got] == sorted(k for k, x in want.items() if len(x) > 1)
+
+
+@pytest.mark.parametrize("groups, steps", [(1, 1), (6, 1), (7, 2)])
+def test_rounds_compare_each_pair_of_tiles_once_and_move_each_tile_twice_a_step(spark, groups, steps):
+    names = [f"1,4,{i}" for i in range(30)]
+    tiles = spark.createDataFrame([(t,) for t in names], "t string")
+    boxes = spark.createDataFrame([(1, a, b) for a in names for b in names if a <= b], "d int, a string, b string")
+
+    def moved(left, right):
+        pairs = [(x, y, 0) for x, mates in zip(left["t"], left["mates"]) for y in mates if y in set(right["t"])]
+        return pd.DataFrame([*pairs, ("", "", len(left) + len(right))], columns=["x", "y", "moved"])
+
+    rounds = [r.collect() for r in embedding_join._rounds(tiles, boxes, groups, steps, moved, "x string, y string, moved int")]
+    assert sorted(tuple(sorted((r.x, r.y))) for found in rounds for r in found if r.x) == sorted((a, b) for a in names for b in names if a <= b)
+    assert max(sum(r.moved for r in found) for found in rounds) <= 2 * steps * len(names) and len(rounds) == -(-(groups // 2 + 1) // steps)
+
+
+def test_vectors_that_meet_in_rounds_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "GROUP", 64)
+    monkeypatch.setattr(embedding_join, "ROUND", 0)
+    rnd = np.random.default_rng(11)
+    base = rnd.normal(size=(24, 4))
+    # floats and doubles, and vectors of another length
+    vectors = [*base.astype(np.float32).astype(np.float64), *(base + rnd.normal(size=base.shape) * 0.1), *base[:5], *base[:4, :3], *base[:4, :3] * 2]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    links = [(a, b) for a in range(len(vectors)) for b in range(a) if len(vectors[a]) == len(vectors[b]) and vectors[a] @ vectors[b] / math.sqrt((vectors[a] @ vectors[a]) * (vectors[b] @ vectors[b])) >= 0.95]
+    label, n = components([i for i, _ in rows], links), Counter(x for pair in links for x in pair)
+    got = embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=4).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], label[i]) for i in label}
